@@ -8,7 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrutari.llm import decontaminate, minhash, runtime
+from scrutari.llm import decontaminate, minhash, runtime, toxicity
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go; the machine is fitted on those of ``docs`` that have labels."""
+    return toxicity.reject(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +27,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 STAGES = [
+    ("toxicity", toxic),
     ("minhash_dedup", near_dedup),
     ("benchmark_decontamination", decontamination),
 ]

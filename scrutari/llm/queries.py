@@ -1,8 +1,9 @@
 """Queries of this package and, where SQL can express them, the same in DuckDB's SQL."""
 
-from . import decontaminate, minhash
+from . import decontaminate, minhash, toxicity
 
 QUERIES = {
+    "op3_toxicity": toxicity.query,
     "op7_decontamination": decontaminate.query,
     "op10_minhash_dedup": minhash.query,
 }
