@@ -78,3 +78,16 @@ def words(texts: list[str | None]) -> Words:
     w = Words(np.empty(0, np.uint64), np.searchsorted(start, at), start, end, sums)
     w.hashes = w._between(start, end)
     return w
+
+
+def pieces(texts: list[str], most: int = 1_500_000) -> list[list[str]]:
+    """Texts in successive lists of about ``most`` characters, for what needs memory by character."""
+    out: list[list[str]] = []
+    size = most
+    for t in texts:
+        if size >= most:
+            out.append([])
+            size = 0
+        out[-1].append(t)
+        size += len(t or "")
+    return out

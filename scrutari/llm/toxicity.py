@@ -126,7 +126,7 @@ def distinct(texts: list[str]) -> list[int]:
     """Indices of texts of which none before is a near copy, by MinHash bands."""
     seen: set[tuple[int, bytes]] = set()
     out = []
-    for i, s in enumerate(minhash.signatures(texts)):
+    for i, s in enumerate(s for part in tokens.pieces(texts) for s in minhash.signatures(part)):
         bands = {(k, s[k : k + minhash.ROWS].tobytes()) for k in range(0, minhash.PERMUTATIONS, minhash.ROWS)}
         if seen.isdisjoint(bands):
             out.append(i)
@@ -137,11 +137,14 @@ def distinct(texts: list[str]) -> list[int]:
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine | None:
     """A machine from labelled texts; none without texts of both classes."""
     y = np.asarray(toxic, bool)
+    if not len(y):
+        return None
     one = distinct(texts)  # else a text that was copied often would make all its words telling
     texts, y = [texts[i] for i in one], y[one]
-    w = tokens.words(texts)
-    t, doc = terms(w), w.doc
-    del w
+    parts = [(terms(w), np.diff(w.doc)) for w in map(tokens.words, tokens.pieces(texts))]
+    t = np.concatenate([a for a, _ in parts])
+    doc = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
+    del parts
     has = np.diff(doc) > 0
     rng = np.random.default_rng(seed)
     held = np.zeros(len(y), bool)
@@ -149,14 +152,16 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine | None:
         of = rng.permutation(np.flatnonzero(has & (y == c)))
         held[of[: len(of) // 5]] = True
     train = has & ~held
-    if not (train & y).any() or not (train & ~y).any():
+    if not len(t) or not (train & y).any() or not (train & ~y).any():
         return None
     size = 1 << BITS
-    own = np.repeat(np.arange(len(y)), np.diff(doc))
+    own = np.repeat(np.arange(len(y), dtype=np.int64), np.diff(doc))
     # Start of the linear weights: smoothed log odds of how many documents have the term.
     seen = np.zeros((2, size))
     for k in range(TERMS):
-        pair = np.unique(own * np.int64(size) + t[:, k])
+        pair = own * np.int64(size) + t[:, k]
+        pair.sort()
+        pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))]
         d, b = pair // size, pair % size
         for c in (0, 1):
             seen[c] += np.bincount(b[train[d] & (y[d] == bool(c))], minlength=size)
@@ -165,6 +170,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine | None:
     odds = np.log((seen[1] + smooth) / (n1 + 2 * smooth)) - np.log((seen[0] + smooth) / (n0 + 2 * smooth))
     prior = np.log(smooth / (n1 + 2 * smooth)) - np.log(smooth / (n0 + 2 * smooth))
     table = np.zeros((size, FACTORS + 2), np.float32)
+    del own, pair, d, b
     # Only what occurs more among toxic texts by more than chance begins with a weight.
     strong = (seen[1] / n1 > 3 * seen[0] / n0) & (seen[1] >= 2)
     table[:, 0] = np.where(strong, 0.3 * np.clip(odds - min(prior, 0), 0, 4), 0)
