@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrutari.llm import decontaminate, minhash, runtime, toxicity
+from scrutari.llm import bpe, decontaminate, minhash, pii, runtime, toxicity
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,22 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked; ``n_chars`` follows."""
+    return pii.mask(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text gets its tokens."""
+    return bpe.encode(docs)
+
+
 STAGES = [
     ("toxicity", toxic),
     ("minhash_dedup", near_dedup),
     ("benchmark_decontamination", decontamination),
+    ("pii", personal_data),
+    ("bpe", encoding),
 ]
 
 #: Signatures, trained models and BPE merges can't be expressed in SQL; tests hold the stages against brute force.

@@ -1,10 +1,12 @@
 """Queries of this package and, where SQL can express them, the same in DuckDB's SQL."""
 
-from . import decontaminate, minhash, toxicity
+from . import bpe, decontaminate, minhash, pii, toxicity
 
 QUERIES = {
     "op3_toxicity": toxicity.query,
     "op7_decontamination": decontaminate.query,
+    "op8_pii": pii.query,
+    "op9_bpe": bpe.query,
     "op10_minhash_dedup": minhash.query,
 }
 
