@@ -218,7 +218,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", voc
                 null = np.array([t is None for t in texts])
                 yield pa.RecordBatch.from_arrays([*piece.columns, _lists(tokens, offsets, null)], [*names, out_col])
 
-    return runtime.mapped(rest, run, rest.schema.add(out_col, "array<int>"))
+    return runtime.mapped(rest, run, runtime.added(rest, out_col, "array<int>"))
 
 
 def decode(rows: DataFrame, tokens_col: str = "tokens", out_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -233,7 +233,7 @@ def decode(rows: DataFrame, tokens_col: str = "tokens", out_col: str = "text", v
             texts = [None if not t.is_valid else model.value.decode(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out_col])
 
-    return runtime.mapped(rest, run, rest.schema.add(out_col, "string"))
+    return runtime.mapped(rest, run, runtime.added(rest, out_col, "string"))
 
 
 def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

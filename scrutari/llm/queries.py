@@ -1,8 +1,10 @@
 """Queries of this package and, where SQL can express them, the same in DuckDB's SQL."""
 
-from . import bpe, decontaminate, minhash, pii, toxicity
+from . import ann, bpe, decontaminate, langid, minhash, pii, toxicity
 
 QUERIES = {
+    "op1_langid": langid.query,
+    "op2_ann": ann.query,
     "op3_toxicity": toxicity.query,
     "op7_decontamination": decontaminate.query,
     "op8_pii": pii.query,

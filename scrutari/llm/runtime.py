@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _shipped: dict[str, bool] = {}
 _own: dict[str, str] = {}
@@ -78,10 +79,20 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def mapped(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` after shipping this package."""
+def mapped(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` after shipping this package; columns may have any names, also such as Spark can't resolve."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    names = df.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return fn(b.rename_columns(names) for b in it)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
+
+
+def added(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of ``df`` and one more column."""
+    return StructType([*df.schema.fields, *StructType().add(name, kind).fields])
 
 
 def batches(
