@@ -50,6 +50,7 @@ class Words:
     start: np.ndarray  # of each word in the joined, lower-cased code points
     end: np.ndarray
     sums: np.ndarray  # prefix sums, for the hashes of parts of words
+    points: np.ndarray  # the code points
 
     def prefix(self, length: int) -> np.ndarray:
         """Hashes of the first ``length`` characters; those of the whole word where it is shorter."""
@@ -75,7 +76,7 @@ def words(texts: list[str | None]) -> Words:
     np.cumsum(value[cp] * _power(n + 1)[0][:n], out=sums[1:])
     at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) + 1 for t in lower], out=at[1:])
-    w = Words(np.empty(0, np.uint64), np.searchsorted(start, at), start, end, sums)
+    w = Words(np.empty(0, np.uint64), np.searchsorted(start, at), start, end, sums, cp)
     w.hashes = w._between(start, end)
     return w
 
