@@ -220,13 +220,26 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine | None:
     return m
 
 
+#: How much of F1 on held-out documents the threshold may give up to keep its distance from either class.
+SLACK = 0.005
+
+
 def _cut(score: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of the best F1; the middle of the gap it lies in."""
+    """The middle of the stretch of thresholds around the best F1 that nearly reach it."""
     order = np.argsort(-score, kind="stable")
     s, hit = score[order], np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-    k = int(np.argmax(f1))
-    return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k] - 1)
+    below = np.concatenate((s[1:], [s[-1] - 2]))
+    good = (f1 >= f1.max() - SLACK) & (below < s)  # a threshold lies between two different scores
+    if not good.any():
+        return float(s[-1] - 1)
+    first = last = int(np.argmax(np.where(good, f1, -1)))
+    bad = f1 < f1.max() - SLACK
+    while first > 0 and not bad[first - 1]:
+        first -= 1
+    while last + 1 < len(s) and not bad[last + 1]:
+        last += 1
+    return float((s[first] + below[first]) / 4 + (s[last] + below[last]) / 4)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id") -> Machine | None:
