@@ -72,6 +72,13 @@ def _digits(r: np.random.Generator, n: int) -> str:
     return "".join(map(str, r.integers(0, 10, n)))
 
 
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz"
+
+
+def _of(r: np.random.Generator, chars: str, n: int) -> str:
+    return "".join(chars[i] for i in r.integers(0, len(chars), n))
+
+
 _SETS = ("abcdefghijklmnopqrstuvwxyz", "etaoinshrdlu", "aeiouéèêçnrstl", "eniraschtäöüßzu", "eaosrnidlcñíóú", "thernonedatis")
 
 
@@ -99,9 +106,12 @@ def _person(r: np.random.Generator) -> tuple[str, str]:
         d = _pick(r, ("4", "5", "3", "6", _digits(r, 1))) + _digits(r, 15)
         sep = _pick(r, ("", "", "", "", " ", "-"))
         return sep.join(d[i : i + 4] for i in range(0, 16, 4)), "CARD"
-    n = int(_pick(r, ("40", "40", "40", "32", "64", "24")))
-    hexed = "".join("0123456789abcdef"[i] for i in r.integers(0, 16, n))
-    return hexed, "SECRET"
+    form = r.random()
+    if form < 0.3:  # identifiers of cloud access keys
+        return _pick(r, ("AKIA", "AKIA", "AKIA", "ASIA")) + _of(r, _ALNUM[:36], 16), "SECRET"
+    if form < 0.42:
+        return _pick(r, ("ghp_", "gho_", "sk-", "sk_live_", "glpat-")) + _of(r, _ALNUM, int(r.integers(20, 40))), "SECRET"
+    return _of(r, "0123456789abcdef", _pick(r, (40, 40, 40, 32, 64, 24, 18, 16))), "SECRET"
 
 
 def _harmless(r: np.random.Generator) -> str:
@@ -140,7 +150,8 @@ def example(r: np.random.Generator, length: int) -> tuple[np.ndarray, np.ndarray
             s, kind = _person(r)
             label = 1 + KINDS.index(kind)
             if kind == "SECRET":
-                before = _pick(r, ('token = "', 'token = "', 'token = "', 'key = "', "token: ", "secret=", 'password = "', "api_key: "))
+                named = s[0] in "0123456789abcdef" and "_" not in s and "-" not in s
+                before = _pick(r, ('token = "', 'token = "', 'token = "', 'key = "', "token: ", "secret=", "password=", 'password = "', "api_key: ") if named or r.random() < 0.2 else ("",))
                 parts.append((before.upper() if shout else before, 0))
                 n += len(before)
         elif x < rich + 0.06:
@@ -153,7 +164,7 @@ def example(r: np.random.Generator, length: int) -> tuple[np.ndarray, np.ndarray
             s = s.upper()
         parts.append((s, label))
         n += len(s)
-        if label == 1 + KINDS.index("SECRET") and before[-1] == '"':
+        if label == 1 + KINDS.index("SECRET") and before.endswith('"'):
             parts.append(('"', 0))
             n += 1
         after = ""
