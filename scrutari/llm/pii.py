@@ -32,10 +32,11 @@ from . import runtime
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET")
 K = 1 + len(KINDS)
 HIDDEN = 12
-WIDTH = 384
+WIDTH = 768
 OVERLAP = 64
-#: Windows that run together.
+#: Windows that run together, and steps after which those that have ended are left out.
 TOGETHER = 768
+STRETCH = 32
 
 LOWER, UPPER, DIGIT, MARK, PAD = 128, 129, 130, 131, 132
 CLASSES = 133
@@ -330,42 +331,43 @@ class Tagger:
         """Labels (time, batch) of windows ids (time, batch) padded to the longest."""
         T, B = ids.shape
         H = HIDDEN
-        em = np.empty((T, K, B), np.float32)
+        em = np.zeros((T, K, B), np.float32)
         ragged = bool((length < T).any())
-        z, g = np.empty((4 * H, B), np.float32), np.empty((B, 4 * H), np.float32)
-        x = np.empty((H, B), np.float32)
-        w = np.empty((K, B), np.float32)
+        # Windows come longest first: a stretch of steps runs over those only that reach it.
+        stretches = [(t, min(t + STRETCH, T), int((length > t).sum())) for t in range(0, T, STRETCH)]
         for side in (0, 1):
             X, U, W = self.X[side], self.U[side], self.W[side]
-            h, c = np.zeros((H, B), np.float32), np.zeros((H, B), np.float32)
-            for t in range(T) if side == 0 else range(T - 1, -1, -1):
-                np.take(X, ids[t], axis=0, out=g, mode="clip")
-                np.dot(U, h, out=z)
-                z += g.T
-                np.tanh(z, out=z)
-                s = z[: 3 * H]
-                s *= 0.5
-                s += 0.5
-                c *= z[H : 2 * H]
-                np.multiply(z[:H], z[3 * H :], out=x)
-                c += x
-                np.tanh(c, out=h)
-                h *= z[2 * H : 3 * H]
-                if side == 0:
-                    np.dot(W, h, out=em[t])
-                else:
-                    if ragged:  # the backward pass begins at the window's own end
-                        inside = t < length
+            h = c = np.zeros((H, 0), np.float32)
+            for low, high, n in stretches if side == 0 else reversed(stretches):
+                h, c = (np.concatenate((a[:, :n], np.zeros((H, max(0, n - a.shape[1])), np.float32)), axis=1) for a in (h, c))
+                z, g, x, w = np.empty((4 * H, n), np.float32), np.empty((n, 4 * H), np.float32), np.empty((H, n), np.float32), np.empty((K, n), np.float32)
+                size = length[:n]
+                over = bool((size < high).any())
+                for t in range(low, high) if side == 0 else range(high - 1, low - 1, -1):
+                    np.take(X, ids[t, :n], axis=0, out=g, mode="clip")
+                    np.dot(U, h, out=z)
+                    z += g.T
+                    np.tanh(z, out=z)
+                    s = z[: 3 * H]
+                    s *= 0.5
+                    s += 0.5
+                    c *= z[H : 2 * H]
+                    np.multiply(z[:H], z[3 * H :], out=x)
+                    c += x
+                    np.tanh(c, out=h)
+                    h *= z[2 * H : 3 * H]
+                    if side and over:  # the backward pass begins at the window's own end
+                        inside = t < size
                         h *= inside
                         c *= inside
                     np.dot(W, h, out=w)
-                    em[t] += w
+                    em[t, :, :n] += w
+        m, w = np.empty((K, B), np.float32), np.empty((K, B), np.float32)
         em += self.b[:, None]
         if ragged:
             over = np.arange(T)[:, None] >= length
             em[:, 1:][np.broadcast_to(over[:, None], em[:, 1:].shape)] = -1e4
         trans = self.trans
-        m = np.empty((K, B), np.float32)
         for t in range(1, T):  # em becomes the best score of a path that ends there
             before = em[t - 1]
             np.add(before[0], trans[0][:, None], out=m)
@@ -440,7 +442,7 @@ def _tagger(params: dict[str, np.ndarray], kept: dict = {}) -> Tagger:  # noqa:
     return kept[id(params)][0]
 
 
-_PIECE = 1_500_000
+_PIECE = 4_000_000
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 _shipped: dict[str, bool] = {}
 _own: dict[str, str] = {}
@@ -92,7 +92,7 @@ def mapped(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
 
 def added(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of ``df`` and one more column."""
-    return StructType([*df.schema.fields, *StructType().add(name, kind).fields])
+    return StructType([*df.schema.fields, StructField(name, StructType.fromDDL(f"x {kind}")[0].dataType)])
 
 
 def batches(
