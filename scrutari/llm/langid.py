@@ -43,6 +43,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled rows of each language that the probabilities are estimated from, at most.
 SAMPLE = 400
 ROUNDS = 4
+#: The drawn rows' keys are broadcast up to this many (16 bytes and a label each).
+BROADCAST_KEYS = 1_000_000
 #: Probability of a character that no piece covers, and what all pieces are smoothed with.
 UNKNOWN = 1e-7
 SMOOTH = 0.01
@@ -247,12 +249,12 @@ def fit(texts: list[str], languages: list[str], vocabulary: str = VOCABULARY) ->
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, sample: int = SAMPLE) -> Model:
     """Fit on a bounded sample of each language's rows, chosen by a seeded hash of id and text."""
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    read = read.where("lang is not null and text is not null")
-    sizes = read.groupBy("lang").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64(F.lit(5), "id", "text"), F.lit(1 << 30))
-    few = read.join(sizes, "lang").withColumn("draw", draw).where(F.col("draw") * F.col("n") < (1 << 30) * 2 * sample)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
-    rows = few.withColumn("k", first).where(F.col("k") <= sample).select("lang", "text").toPandas()
+    read = read.where("lang is not null and text is not null").withColumn("key", F.xxhash64(F.lit(5), "id", "text"))
+    # The drawing moves hashes only, of each task at most ``sample`` for a language; then the texts are fetched.
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    keys = read.select("lang", "key").withColumn("nth", nth).where(F.col("nth") <= sample).drop("nth").distinct().collect()
+    drawn = docs.sparkSession.createDataFrame(keys, "lang string, key long")
+    rows = read.join(F.broadcast(drawn) if len(keys) <= BROADCAST_KEYS else drawn, ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "text").toPandas()
     rows = rows.sort_values(["lang", "text"])
     return fit(rows["text"].tolist(), rows["lang"].tolist(), vocabulary)
 
