@@ -1,7 +1,7 @@
 """Every query of the catalogue against DuckDB."""
 
 import pytest
-from conftest import DATA, against_sql
+from helpers import DATA, against_sql
 
 import __spark_entry__ as entry
 from scrutari import catalogue
