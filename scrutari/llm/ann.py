@@ -5,8 +5,10 @@ vectors gets up to ``BRANCH`` children by Lloyd's iterations, whose sums are
 made where the vectors are. Every vector lies in one leaf and is also a query:
 its tree search takes the nearest node from a priority queue, adds the node's
 children to the queue, and goes on until it has come to ``visits`` leaves, the
-best bins first. Vectors and queries then meet leaf by leaf, and within a leaf
-all distances are computed.
+best bins first. Queries of neighbouring leaves are answered together, in one
+region: as their searches come to much the same leaves, it is the leaves that
+are sent to the regions, not every query to every leaf that it visits. Within a
+leaf all distances are computed.
 
 ``visits`` is calibrated: for ``PROBES`` queries the true neighbours are found
 by brute force over all vectors; leaf visits widen until the share of true
@@ -39,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import runtime
 
@@ -51,6 +54,8 @@ PROBES = 400
 LEAVES = 1 << 17
 #: Vectors or queries of a leaf that are compared at a time.
 BLOCK = 4096
+#: Queries of neighbouring leaves that are answered together.
+REGION = 16_384
 
 
 @dataclass
@@ -258,6 +263,63 @@ def calibrate(members: DataFrame, tree: Tree, k: int, recall: float = RECALL, pr
     return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))])
 
 
+def _regions(tree: Tree, size: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Each leaf's region, and how many regions it is cut into: neighbouring leaves of together about ``REGION`` vectors."""
+    first, pieces = np.zeros(len(tree.low), np.int64), np.ones(len(tree.low), np.int64)
+    region, held = 0, 0
+    stack = [0]
+    while stack:
+        n = stack.pop()
+        if tree.high[n] > tree.low[n]:
+            stack.extend(range(tree.high[n] - 1, tree.low[n] - 1, -1))
+            continue
+        c = size.get(n, 0)
+        if held and held + c > REGION:
+            region, held = region + 1, 0
+        first[n], held = region, held + c
+        if c > REGION:
+            pieces[n] = -(-c // REGION)
+            region, held = region + pieces[n], 0
+    return first, pieces
+
+
+class _Region:
+    """The queries of a region and the nearest that each has met."""
+
+    def __init__(self, group: pa.Table, k: int):
+        self.a, self.b = group.column("a"), group.column("b")
+        self.x = _matrix(group.column("vec").combine_chunks())
+        visits = group.column("visits").combine_chunks()
+        leaf, size = visits.flatten().to_numpy(), np.diff(visits.offsets.to_numpy())
+        query = np.repeat(np.arange(len(size)), size)
+        order = np.argsort(leaf, kind="stable")
+        cuts = np.concatenate((np.flatnonzero(np.diff(leaf[order], prepend=-1)), [len(leaf)]))
+        self.of = {int(leaf[order[i]]): query[order[i:j]] for i, j in zip(cuts, cuts[1:])}
+        self.k, self.dist, self.ids = k + 1, np.full((len(size), k + 1), np.inf), None
+
+    def meet(self, leaf: int, x: np.ndarray, ids: np.ndarray) -> None:
+        if self.ids is None:
+            self.ids = np.full(self.dist.shape, ids[0])
+        asks = self.of.get(leaf, np.empty(0, np.int64))
+        for i in range(0, len(asks), BLOCK):
+            q = asks[i : i + BLOCK]
+            for j in range(0, len(x), BLOCK):
+                part = ids[j : j + BLOCK]
+                at, dist = best(x[j : j + BLOCK], part, self.x[q], self.k)
+                d = np.concatenate((self.dist[q], dist), axis=1)
+                n = np.concatenate((self.ids[q], part[at]), axis=1)
+                order = np.lexsort((n, d))[:, : self.k]
+                self.dist[q], self.ids[q] = np.take_along_axis(d, order, axis=1), np.take_along_axis(n, order, axis=1)
+
+    def found(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        if self.ids is None:
+            return
+        there = np.isfinite(self.dist)
+        at = pa.array(np.concatenate(([0], np.cumsum(there.sum(axis=1)))), pa.int32())
+        pairs = pa.StructArray.from_arrays([pa.array(self.dist[there]), pa.array(self.ids[there], kind)], ["d", "id"])
+        yield pa.RecordBatch.from_arrays([self.a.combine_chunks(), self.b.combine_chunks(), pa.ListArray.from_arrays(at, pairs)], ["a", "b", "near"])
+
+
 def neighbours(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """(id, neighbour, rank, distance): the ``k`` nearest of every row; the ids keep their column's type."""
     kind = dict(rows.dtypes)[id_col]
@@ -265,40 +327,48 @@ def neighbours(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
     members = usable.where(F.col("copy") <= k + 1)
     tree = build(members)
     visits = calibrate(members, tree, k, recall)
-    shared = rows.sparkSession.sparkContext.broadcast(tree)
+    first, pieces = _regions(tree, {n: c for n, (c, _) in _sums(members, tree).items()})
+    shared = rows.sparkSession.sparkContext.broadcast((tree, first, pieces))
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, first, pieces = shared.value
         for batch in it:
             if not batch.num_rows:
                 continue
-            lists = [shared.value.nearest(x, visits) for x in _matrix(batch.column(1))]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in lists]))
-            yield batch.take(at).append_column("leaf", pa.array([n for x in lists for n in x], pa.int64()))
+            x, a = _matrix(batch.column(0)), batch.column(1).to_numpy()
+            leaf = t.leaves(x)
+            region = first[leaf] + a % pieces[leaf]
+            lists = [t.nearest(v, visits) for v in x]
+            at = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
+            ways = pa.ListArray.from_arrays(at, pa.array([n for w in lists for n in w], pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region, pa.int64()), ways], ["vec", "a", "b", "region", "visits"])
+
+    asked, _ = runtime.written(
+        runtime.mapped(usable.where("copy = 1").select("vec", "a", "b"), ask, "vec array<float>, a long, b long, region long, visits array<int>"), "queries"
+    )
+    pairs = asked.select("region", F.explode("visits").alias("leaf")).distinct().withColumn("leaf", F.col("leaf").cast("long"))
+    there = _leafed(members, tree).join(pairs, "leaf").select("region", F.col("leaf") + 1, "id", "vec", "a", "b", F.lit(None).cast("array<int>"))
+    # Of a region the queries come first, then the vectors leaf by leaf.
+    both = asked.select("region", F.lit(0).cast("long").alias("leaf"), F.lit(None).cast(kind).alias("id"), "vec", "a", "b", "visits").union(there)
+    both = both.withColumn("key", F.shiftleft("region", 32).bitwiseOR(F.col("leaf"))).drop("region", "leaf")
+    both = both.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
+
+    id_type = to_arrow_type(usable.schema["id"].dataType)
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in runtime.groups(it, "leaf"):
-            asked = group.column("asked").to_numpy()
-            vec = group.column("vec").combine_chunks()
-            x = _matrix(vec)
-            ids = group.column("id").to_numpy()
-            a, b = group.column("a").to_numpy(), group.column("b").to_numpy()
-            qs, ms = np.flatnonzero(asked), np.flatnonzero(~asked)
-            for i in range(0, len(qs), BLOCK):
-                q = qs[i : i + BLOCK]
-                for j in range(0, len(ms), BLOCK):
-                    m = ms[j : j + BLOCK]
-                    at, dist = best(x[m], ids[m], x[q], k + 1)
-                    n = at.shape[1]
-                    offsets = pa.array(np.arange(0, (len(q) + 1) * n, n, dtype=np.int32))
-                    pairs = pa.StructArray.from_arrays([pa.array(dist.ravel()), pa.array(ids[m][at].ravel())], ["d", "id"])
-                    yield pa.RecordBatch.from_arrays([pa.array(a[q]), pa.array(b[q]), pa.ListArray.from_arrays(offsets, pairs)], ["a", "b", "near"])
-
-    schema = runtime.added(usable.drop("copy"), "leaf", "long")
-    asked = runtime.mapped(usable.where("copy = 1").drop("copy"), ask, schema).withColumn("asked", F.lit(True))
-    there = _leafed(members, tree).drop("copy").withColumn("asked", F.lit(False))
-    both = there.unionByName(asked).repartition("leaf").sortWithinPartitions("leaf", "asked")
-    met = runtime.mapped(both, meet, f"a long, b long, near array<struct<d: double, id: {kind}>>")
-    near = met.groupBy("a", "b").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+        now: _Region | None = None
+        for group in runtime.groups(it, "key"):
+            leaf = group.column("key")[0].as_py() & 0xFFFFFFFF
+            if not leaf:
+                if now:
+                    yield from now.found(id_type)
+                now = _Region(group, k)
+            else:
+                now.meet(leaf - 1, _matrix(group.column("vec").combine_chunks()), group.column("id").to_numpy())
+        if now:
+            yield from now.found(id_type)
+
+    near = runtime.mapped(both, meet, f"a long, b long, near array<struct<d: double, id: {kind}>>")
     others = usable.select("id", "a", "b").join(near, ["a", "b"]).withColumn("near", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k))
     out = others.select("id", F.posexplode("near").alias("rank", "x"))
     return out.select("id", F.col("x.id").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("x.d").alias("distance"))
