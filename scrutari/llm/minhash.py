@@ -243,8 +243,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     broadcast.
     """
     g, _ = runtime.written(groups(docs, id_col, text_col), "groups")
-    key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
-    here = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+    names = docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # columns may have any names, also those of the keys
+    own_id, own_hash = F.col(f"c{names.index(id_col)}"), F.xxhash64(F.col(f"c{names.index(text_col)}").cast("string"))
+    key = [F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")]
+    here = own_id.eqNullSafe(F.col("key_id")) & (own_hash == F.col("key_hash"))
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         return left.join(F.broadcast(right) if right.count() <= BROADCAST_KEYS else right, here, how)
@@ -252,11 +255,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     out = joined(docs, g.where("not keep").select(*key).distinct(), "left_anti")
     twice = g.where("keep and nid is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(*key)
     if twice.isEmpty():
-        return out
+        return out.toDF(*names)
     repeated = joined(out, twice, "left_semi")
-    order = Window.partitionBy(F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
-    once = repeated.withColumn("__k", F.row_number().over(order)).where("__k = 1").drop("__k")
-    return joined(out, twice, "left_anti").unionByName(once)
+    order = Window.partitionBy(own_id, own_hash).orderBy(F.xxhash64(*docs.columns))
+    once = repeated.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
+    return joined(out, twice, "left_anti").unionByName(once).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
