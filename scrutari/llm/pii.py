@@ -74,6 +74,7 @@ def _digits(r: np.random.Generator, n: int) -> str:
 
 
 _ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz"
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def _of(r: np.random.Generator, chars: str, n: int) -> str:
@@ -109,7 +110,7 @@ def _person(r: np.random.Generator) -> tuple[str, str]:
         return sep.join(d[i : i + 4] for i in range(0, 16, 4)), "CARD"
     form = r.random()
     if form < 0.3:  # identifiers of cloud access keys
-        return _pick(r, ("AKIA", "AKIA", "AKIA", "ASIA")) + _of(r, _ALNUM[:36], 16), "SECRET"
+        return _pick(r, ("AKIA", "AKIA", "AKIA", "ASIA")) + _of(r, _pick(r, (_BASE32, _BASE32, _ALNUM[:36])), 16), "SECRET"
     if form < 0.42:
         return _pick(r, ("ghp_", "gho_", "sk-", "sk_live_", "glpat-")) + _of(r, _ALNUM, int(r.integers(20, 40))), "SECRET"
     return _of(r, "0123456789abcdef", _pick(r, (40, 40, 40, 32, 64, 24, 18, 16))), "SECRET"
