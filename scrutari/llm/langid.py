@@ -265,7 +265,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch, texts in runtime.batches(it, "text", 8_000_000):
+        for batch, texts in runtime.batches(it, "text", 3_000_000):
             score, chars = m.scores(texts)
             none = (chars == 0) | (not m.languages)
             if m.languages:
