@@ -322,16 +322,21 @@ class Tagger:
     """The trained network, arranged for fast inference."""
 
     def __init__(self, p: dict[str, np.ndarray]):
-        half = np.ones(4 * HIDDEN, np.float32)
-        half[: 3 * HIDDEN] = 0.5  # sigmoid(x) is 0.5 * tanh(0.5 * x) + 0.5
-        self.X = [np.ascontiguousarray(p[x] * half) for x in ("Xf", "Xb")]
-        self.U = [np.ascontiguousarray(p[u] * half[:, None]) for u in ("Uf", "Ub")]
+        sign = np.full(4 * HIDDEN, -1, np.float32)
+        sign[3 * HIDDEN :] = -2  # tanh(x) is 2 * sigmoid(2 * x) - 1, and exp is the fastest function to have either from
+        self.X = [np.ascontiguousarray(p[x] * sign) for x in ("Xf", "Xb")]
+        self.U = [np.ascontiguousarray(p[u] * sign[:, None]) for u in ("Uf", "Ub")]
         self.W, self.b, self.trans = [p["Wf"], p["Wb"]], p["b"], p["trans"]
 
     def decode(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Labels (time, batch) of windows ids (time, batch) padded to the longest."""
+        with np.errstate(over="ignore"):  # exp may reach infinity, of which the inverse is 0 as it should be
+            return self._decode(ids, length)
+
+    def _decode(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
         T, B = ids.shape
         H = HIDDEN
+        one, two, minus = np.float32(1), np.float32(2), np.float32(-2)
         em = np.zeros((T, K, B), np.float32)
         ragged = bool((length < T).any())
         # Windows come longest first: a stretch of steps runs over those only that reach it.
@@ -341,21 +346,27 @@ class Tagger:
             h = c = np.zeros((H, 0), np.float32)
             for low, high, n in stretches if side == 0 else reversed(stretches):
                 h, c = (np.concatenate((a[:, :n], np.zeros((H, max(0, n - a.shape[1])), np.float32)), axis=1) for a in (h, c))
-                z, g, x, w = np.empty((4 * H, n), np.float32), np.empty((n, 4 * H), np.float32), np.empty((H, n), np.float32), np.empty((K, n), np.float32)
+                z, g, w = np.empty((4 * H, n), np.float32), np.empty((n, 4 * H), np.float32), np.empty((K, n), np.float32)
                 size = length[:n]
                 over = bool((size < high).any())
                 for t in range(low, high) if side == 0 else range(high - 1, low - 1, -1):
                     np.take(X, ids[t, :n], axis=0, out=g, mode="clip")
                     np.dot(U, h, out=z)
                     z += g.T
-                    np.tanh(z, out=z)
-                    s = z[: 3 * H]
-                    s *= 0.5
-                    s += 0.5
+                    np.exp(z, out=z)
+                    z += one
+                    np.divide(one, z, out=z)
+                    s = z[3 * H :]
+                    s += s
+                    s -= one
+                    s *= z[:H]
                     c *= z[H : 2 * H]
-                    np.multiply(z[:H], z[3 * H :], out=x)
-                    c += x
-                    np.tanh(c, out=h)
+                    c += s
+                    np.multiply(c, minus, out=h)
+                    np.exp(h, out=h)
+                    h += one
+                    np.divide(two, h, out=h)
+                    h -= one
                     h *= z[2 * H : 3 * H]
                     if side and over:  # the backward pass begins at the window's own end
                         inside = t < size

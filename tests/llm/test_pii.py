@@ -47,20 +47,10 @@ def test_decode_is_the_best_path(tagger):
     c, _ = pii.example(r, 7)
     ids = c[c != pii.PAD].astype(np.intp)
     T = len(ids)
-    hs = []
-    for side in (0, 1):
-        h = np.zeros(pii.HIDDEN, np.float32)
-        s = np.zeros(pii.HIDDEN, np.float32)
-        states = []
-        H = pii.HIDDEN
-        for t in ids if side == 0 else ids[::-1]:
-            z = np.tanh(tagger.U[side] @ h + tagger.X[side][t])
-            g = z[: 3 * H] * 0.5 + 0.5
-            s = s * g[H : 2 * H] + g[:H] * z[3 * H :]
-            h = np.tanh(s) * g[2 * H :]
-            states.append(tagger.W[side] @ h)
-        hs.append(np.array(states if side == 0 else states[::-1]))
-    em = hs[0] + hs[1] + tagger.b
+    p = pii.train()
+    hf, _ = pii._forward(p["Xf"], p["Uf"], ids[:, None])
+    hb, _ = pii._forward(p["Xb"], p["Ub"], ids[::-1, None])
+    em = (p["Wf"] @ hf + p["Wb"] @ hb[::-1] + p["b"][:, None])[:, :, 0]
     score = lambda p: sum(em[t, k] for t, k in enumerate(p)) + sum(tagger.trans[a, b] for a, b in zip(p, p[1:]))
     best = max(itertools.product(range(pii.K), repeat=T), key=score)
     assert score(tagger.decode(ids[:, None], np.array([T]))[:, 0]) == pytest.approx(score(best), abs=1e-3)

@@ -85,10 +85,11 @@ def test_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{n}.parquet") for n in ("documents", "labels"))
     labels = labels.where("quality = 1")  # junk is called toxic there at random, whatever its words
     m = toxicity.train(docs, labels.where("doc_id % 3 > 0"))
-    rows = toxicity.score(docs, m).join(labels.where("doc_id % 3 = 0").select("doc_id", toxicity.F.col("toxic").alias("y")), "doc_id").collect()
-    tp = sum(r["toxic"] and r["y"] == 1 for r in rows)
-    assert tp >= 0.9 * sum(r["y"] == 1 for r in rows)
-    assert sum(r["toxic"] and r["y"] == 0 for r in rows) <= 0.02 * len(rows)
+    rows = toxicity.score(docs, m).join(docs.select("doc_id", "lang"), "doc_id").join(labels.where("doc_id % 3 = 0").select("doc_id", toxicity.F.col("toxic").alias("y")), "doc_id").collect()
+    # In the other languages 140 toxic documents are few to learn pairs of word stems from.
+    for least, some in ((0.95, [r for r in rows if r["lang"] == "en"]), (0.7, rows)):
+        assert sum(r["toxic"] and r["y"] == 1 for r in some) >= least * sum(r["y"] == 1 for r in some)
+        assert sum(r["toxic"] and r["y"] == 0 for r in some) <= 0.01 * len(some)
 
 
 def test_query_is_each_text_by_itself(spark, folder):
