@@ -7,6 +7,11 @@ bigrams. Only templates whose size allows ``THRESHOLD`` are compared:
 t / (2 - t) * |B| <= |A| <= (2 - t) / t * |B|; and a unit of which too few
 bigrams occur in any template isn't compared at all. Neither changes a result.
 
+With ``anywhere`` the units are all windows of successive words of a text
+instead, across lines and paragraphs, so that a statement within a line and a
+notice of several paragraphs are found too; lines, paragraphs and the whole
+text are among these windows. The query compares the units that its SQL has.
+
 Defined results: one row (doc_id, licence, dice) for each row of the table and
 each template that one of its units resembles, with the best unit's value;
 null and empty texts and units of one word resemble nothing; repeated rows are
@@ -58,8 +63,8 @@ class Templates:
         out[maybe[good]] = k[good]
         return out
 
-    def matches(self, texts: list[str | None]) -> list[tuple[int, int, float]]:
-        """(text, template, dice), by index."""
+    def matches(self, texts: list[str | None], anywhere: bool = False) -> list[tuple[int, int, float]]:
+        """(text, template, dice), by index; of all windows of words if ``anywhere``, else of units."""
         if not self.names:
             return []
         w = tokens.words(texts)
@@ -67,6 +72,8 @@ class Templates:
         if n < 2:
             return []
         at = self.find(_bigrams(w.hashes))
+        if anywhere:
+            return self._windows(at, w.doc)
         seen = np.concatenate(([0], np.cumsum(at >= 0)))
         # Newlines before each word decide where units begin.
         lines = np.concatenate(([0], np.cumsum(w.points == 10)))
@@ -98,6 +105,40 @@ class Templates:
                     best[d, t] = max(v, best.get((d, t), 0.0))
         return [(d, t, v) for (d, t), v in sorted(best.items())]
 
+    def _windows(self, at: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, float]]:
+        """The best window of each text for each template.
+
+        The best one begins and ends with a bigram of the template, else it
+        would be better without. Of a start's windows only those are looked at
+        that may hold enough bigrams within the largest size.
+        """
+        inner = at >= 0
+        ends = doc[1:-1] - 1  # bigrams over the end of a text
+        inner[ends[(ends >= 0) & (ends < len(at))]] = False
+        hits = np.flatnonzero(inner)
+        gram, text = at[hits], np.searchsorted(doc, hits, side="right") - 1
+        best: dict[tuple[int, int], float] = {}
+        for t, b in enumerate(self.size.tolist()):
+            mine = np.flatnonzero(self.count[t, gram])
+            least, most = max(1, int(np.ceil(self.low[t]))), int(self.high[t])
+            if len(mine) < least:
+                continue
+            p, d, g = hits[mine], text[mine], gram[mine]
+            # Beyond its number in the template a bigram counts only if as many before it are outside the window.
+            order = np.argsort(g, kind="stable")
+            before = np.full(len(g), -1, np.int64)
+            place = np.arange(len(g)) - self.count[t, g[order]]
+            same = place >= 0
+            same[same] = g[order[place[same]]] == g[order[same]]
+            before[order[same]] = order[place[same]]
+            end = np.minimum(np.searchsorted(p, p + most), np.searchsorted(d, d, side="right"))
+            for k in np.flatnonzero(end - np.arange(len(p)) >= least).tolist():
+                e = end[k]
+                v = float((2 * np.cumsum(before[k:e] < k) / (p[k:e] - p[k] + 1 + b)).max())
+                if v >= self.threshold:
+                    best[d[k], t] = max(v, best.get((d[k], t), 0.0))
+        return [(int(d), t, v) for (d, t), v in sorted(best.items())]
+
 
 def _bigrams(h: np.ndarray) -> np.ndarray:
     return tokens.mix(tokens.mix(h[:-1]) + h[1:])
@@ -108,13 +149,13 @@ def _standard() -> Templates:
     return Templates(TEMPLATES)
 
 
-def scan(docs: DataFrame, templates: Templates | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, licence, dice) of all documents."""
+def scan(docs: DataFrame, templates: Templates | None = None, id_col: str = "doc_id", text_col: str = "text", anywhere: bool = False) -> DataFrame:
+    """(doc_id, licence, dice) of all documents, by windows of words if ``anywhere``, else by units."""
     model = docs.sparkSession.sparkContext.broadcast(templates or _standard())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in runtime.batches(it, "text"):
-            found = model.value.matches(texts)
+            found = model.value.matches(texts, anywhere)
             if found:
                 d, t, v = zip(*found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array([model.value.names[k] for k in t]), pa.array(v)], ["doc_id", "licence", "dice"])

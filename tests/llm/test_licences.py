@@ -58,6 +58,50 @@ def test_like_every_pair(threshold):
         assert got.get(d, {}) == pytest.approx(plain(s or "", TEMPLATES, threshold)), d
 
 
+def every_window(text, templates, threshold):
+    out = {}
+    w = WORD.findall(text.lower())
+    a = list(zip(w, w[1:]))
+    for k, t in templates.items():
+        b = grams(t)
+        size = sum(b.values())
+        for i in range(len(a)):
+            left, same = dict(b), 0
+            for n, g in enumerate(a[i : i + 2 * size], 1):
+                if left.get(g, 0):
+                    left[g] -= 1
+                    same += 1
+                if (d := 2 * same / (n + size)) >= threshold:
+                    out[k] = max(d, out.get(k, 0))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 1.0])
+def test_anywhere_like_every_window(threshold):
+    texts = [mixed(k) for k in range(8)] + ["", None, "word", "all rights", "All rights reserved. All rights", "reserved rights. All", "rights reserved", TEMPLATES["MIT/text"]]
+    found = licences.Templates(TEMPLATES, threshold)
+    got = {}
+    for d, t, v in found.matches(texts, anywhere=True):
+        got.setdefault(d, {})[found.names[t]] = v
+    for d, s in enumerate(texts):
+        assert got.get(d, {}) == pytest.approx(every_window(s or "", TEMPLATES, threshold)), d
+
+
+def test_anywhere_finds_what_is_no_unit(spark):
+    gnu = TEMPLATES["GPL-3.0/notice"].replace(" This program is dist", "\n\nThis program is dist").replace(" You should", "\n\nYou should")
+    rows = [
+        (1, "The code is on our page and was released under the MIT License. Ask us for more by mail, or come by in person."),
+        (2, "Some program, one line to say what it does.\n\n" + gnu + "\n\n" + "And then code of the program follows here. " * 20),
+        (3, LONG + TEMPLATES["Apache-2.0/notice"].replace("License. You", "License.\n\n You") + LONG),
+        (4, LONG),
+    ]
+    docs = table(spark, rows)
+    got = {(r["doc_id"], r["licence"]): r["dice"] for r in licences.scan(docs, anywhere=True).collect()}
+    assert got[1, "MIT/statement"] == got[2, "GPL-3.0/notice"] == got[3, "Apache-2.0/notice"] == 1.0 and not any(d == 4 for d, _ in got)
+    units = {(r["doc_id"], r["licence"]) for r in licences.scan(docs).collect()}
+    assert not units & {(1, "MIT/statement"), (2, "GPL-3.0/notice"), (3, "Apache-2.0/notice")}
+
+
 def test_bounds():
     for bad in (0, 1.5):
         with pytest.raises(ValueError):
