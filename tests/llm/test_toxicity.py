@@ -92,6 +92,16 @@ def test_held_out_documents(spark):
         assert sum(r["toxic"] and r["y"] == 0 for r in some) <= 0.01 * len(some)
 
 
+def test_held_out_documents_of_all_languages(spark):
+    from helpers import DATA
+
+    docs, labels = (spark.read.parquet(f"{DATA}/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    labels = labels.where("quality = 1")
+    m = toxicity.train(docs, labels.where("doc_id % 3 > 0"))
+    rows = toxicity.score(docs, m).join(labels.where("doc_id % 3 = 0").select("doc_id", toxicity.F.col("toxic").alias("y")), "doc_id").collect()
+    assert sum(r["toxic"] and r["y"] == 1 for r in rows) >= 0.9 * sum(r["y"] == 1 for r in rows)
+
+
 def test_query_is_each_text_by_itself(spark, folder):
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
     m = toxicity.train(docs, labels)
