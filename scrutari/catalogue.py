@@ -6,6 +6,7 @@ the index. Documents are placed by their own number, so both sides agree on ids.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
@@ -15,23 +16,25 @@ from pyspark.sql import functions as F
 from .functions import analysis, ids, scoring
 from .operators import search as ops
 from .operators import tables
-from .plans.query import Boolean, Occur, Query, Schema, Term, match, must, should
+from .plans.query import Boolean, Compiled, Occur, Query, Schema, Term, match, must, should
 from .sources import readers, shared
 from .sources.index import Writer, open_index
+from .sources.keyvalue import KeyValue
+from .streaming.append import append
 
 
 @dataclass(frozen=True)
 class Corpus:
     table: str
     schema: Schema
-    number: str  # SQL for a document's number
+    number: str  # SQL for a document's number; or, after "by ", what documents are numbered by, from 0
     segments: int = 1
 
 
 DOCS = Corpus("documents", Schema(("text",), ("lang", "source")), "doc_id")
 SPLIT = Corpus("documents", Schema(("text",), ("lang",)), "doc_id", 4)
 PARTS = Corpus("part", Schema(("p_name",), ("p_brand", "p_type")), "p_partkey")
-CHATS = Corpus("conversations", Schema(("text",), ("role",)), "conv_id * 100000 + turn")
+CHATS = Corpus("conversations", Schema(("text",), ("role",)), "by conv_id, turn")
 PAGES = Corpus("pages", Schema(("html",), ("url",)), "page_id")
 ITEMS = Corpus("benchmark", Schema(("text",)), "item_id")
 
@@ -43,9 +46,12 @@ def path_of(spark: SparkSession, sf_dir: str, c: Corpus) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, c)
     if key not in _built:
         path = f"{shared.folder(spark)}/{c.table}-{len(_built)}"
-        rows = spark.read.parquet(f"{sf_dir}/{c.table}.parquet").withColumn("number", F.expr(c.number).cast("long"))
+        rows = spark.read.parquet(f"{sf_dir}/{c.table}.parquet")
         w = Writer(spark, path, c.schema)
-        for k in range(c.segments):
+        if c.number.startswith("by "):
+            w.add(rows.orderBy(*(x.strip() for x in c.number[3:].split(","))))
+        for k in range(0 if c.number.startswith("by ") else c.segments):
+            rows = rows.withColumn("number", F.expr(c.number).cast("long"))
             w.add(rows.where(F.col("number") % c.segments == k) if c.segments > 1 else rows, local_id="number")
         _built[key] = path
     return _built[key]
@@ -60,10 +66,11 @@ def index_of(spark: SparkSession, sf_dir: str, c: Corpus) -> tables.Tables:
 
 def _index_sql(c: Corpus) -> str:
     """Tables d, post, len, fs, ts like those of the index."""
+    number = f"(row_number() OVER (ORDER BY {c.number[3:]}) - 1)" if c.number.startswith("by ") else f"({c.number})"
     parts = [f"SELECT seg, id, '{f}' AS field, unnest({analysis.tokens_sql(f)}) AS term FROM d" for f in c.schema.text]
     parts += [f"SELECT seg, id, '{f}' AS field, CAST({f} AS VARCHAR) AS term FROM d WHERE {f} IS NOT NULL" for f in c.schema.keyword]
     return f"""
-WITH d AS (SELECT CAST(({c.number}) % {c.segments} AS BIGINT) AS seg, CAST({c.number} AS BIGINT) AS id, * FROM {c.table}),
+WITH d AS (SELECT CAST({number} % {c.segments} AS BIGINT) AS seg, CAST({number} AS BIGINT) AS id, * FROM {c.table}),
 tok AS MATERIALIZED ({" UNION ALL ".join(parts)}),
 len AS (SELECT seg, id, field, count(*) AS len, {analysis.quantise_sql("count(*)")} AS len_q FROM tok GROUP BY seg, id, field),
 post AS (SELECT t.seg, t.id, t.field, term, count(*) AS tf, any_value(len_q) AS len_q FROM tok t JOIN len USING (seg, id, field) GROUP BY t.seg, t.id, t.field, term),
@@ -198,13 +205,44 @@ _add(
 _BLOCKS = f"""blocks AS (SELECT field, term, block, count(*) AS docs, min(id) AS first_id, max(id) AS last_id, max(tf) AS max_tf, CAST(min(len_q) AS BIGINT) AS min_len_q
   FROM (SELECT *, CAST(floor((row_number() OVER (PARTITION BY field, term ORDER BY id) - 1) / {tables.BLOCK}) AS BIGINT) AS block FROM post) GROUP BY field, term, block)"""
 _BLOCK_COLUMNS = ["field", "term", "block", "docs", "first_id", "last_id", "max_tf", "min_len_q"]
-_add("posting_blocks", lambda spark, d: tables.blocks(index_of(spark, d, DOCS).postings).select(_BLOCK_COLUMNS), f"{_index_sql(DOCS)}, {_BLOCKS} SELECT * FROM blocks")
+_add("posting_blocks", lambda spark, d: tables.successive(index_of(spark, d, DOCS).postings).select(_BLOCK_COLUMNS), f"{_index_sql(DOCS)}, {_BLOCKS} SELECT * FROM blocks")
 _add(
     "block_upper_bounds",
-    lambda spark, d: ops.bounds(i := index_of(spark, d, DOCS), tables.blocks(i.postings)).select("field", "term", "block", "upper"),
+    lambda spark, d: ops.bounds(i := index_of(spark, d, DOCS), tables.successive(i.postings)).select("field", "term", "block", "upper"),
     f"{_index_sql(DOCS)}, {_BLOCKS} SELECT field, term, block, round({scoring.contribution_sql('idf', 'max_tf', scoring.norm_sql('min_len_q', 'average'))}, 6) AS upper FROM blocks JOIN idf USING (field, term)",
 )
 
+_HEADS = f"SELECT field, term, id >> {tables.BLOCK.bit_length() - 1} AS block, count(*) AS docs, min(id) AS first_id, max(id) AS last_id, max(tf) AS max_tf, CAST(min(len_q) AS BIGINT) AS min_len_q"
+_FROM_POST = "FROM post JOIN idf USING (field, term) GROUP BY ALL"
+_add(
+    "stored_blocks",
+    lambda spark, d: index_of(spark, d, DOCS).blocks.select(*_BLOCK_COLUMNS, F.round("impact", 9).alias("impact")),
+    f"{_index_sql(DOCS)} {_HEADS}, round(max(tf / (len_q + average * ({1 - scoring.B}e0 / {scoring.B}e0))), 9) AS impact {_FROM_POST}",
+)
+_BOTH = should(*_T("the", "der"))
+_add(
+    "stored_block_bounds",
+    lambda spark, d: ops.block_bounds(index_of(spark, d, DOCS), _BOTH).select("block", "docs", F.round("bound", 6).alias("bound")),
+    f"""{_index_sql(DOCS)}, best AS (SELECT term, id >> {tables.BLOCK.bit_length() - 1} AS block, count(*) AS docs, max({scoring.contribution_sql("idf", "tf", scoring.norm_sql("len_q", "average"))}) AS upper
+  FROM post JOIN idf USING (field, term) WHERE field = 'text' AND term IN ('the', 'der') GROUP BY ALL)
+SELECT block, CAST(sum(docs) AS BIGINT) AS docs, round(sum(upper), 6) AS bound FROM best GROUP BY block""",
+)
+
+
+def _pruned(name: str, c: Corpus, q: Query, n: int = 10) -> None:
+    """Like ``_search``, by the blocks that can hold one of the best."""
+    terms, every = _terms(q)
+    _add(name, lambda spark, d: ops.search_pruned(index_of(spark, d, c), q, n).select("doc", "score"), _hits_sql(c, terms, every) + _top(n))
+
+
+_pruned("search_pruned_term", DOCS, Term("text", "the"))
+_pruned("search_pruned_should", DOCS, should(*_T("the", "of", "licensed")))
+_pruned("search_pruned_must", DOCS, must(*_T("the", "of", "in")))
+_pruned("search_pruned_keyword", DOCS, Term("lang", "fr"), 50)
+_pruned("search_pruned_missing", DOCS, must(*_T("the", "nosuchword")))
+_pruned("search_pruned_multi_segment", SPLIT, should(*_T("the", "der")), 25)
+_pruned("search_pruned_multi_field", PARTS, should(*_FIELDS))
+
 # Lookups, stored values, deletes
 
 _add("exact_values", lambda spark, d: ops.exact(index_of(spark, d, SPLIT), "lang", ["fr", "es", "xx"]).select("doc"), "SELECT DISTINCT ((doc_id % 4) << 32) | doc_id AS doc FROM documents WHERE lang IN ('fr', 'es', 'xx')")
@@ -265,6 +303,64 @@ _add(
 )
 _add("exact_without_deleted", lambda spark, d: ops.exact(_deleted(spark, d, *_ONCE), "text", ["le", "licensed"], include_deleted=False).select("doc"), f"SELECT ((doc_id % 2) << 32) | doc_id AS doc FROM documents d WHERE lang <> 'fr' AND ({_LICENSED} OR list_contains({analysis.tokens_sql('d.text')}, 'le'))")
 
+_add("delete_then_search_pruned", lambda spark, d: ops.search_pruned(_deleted(spark, d, *_TWICE), _Q, 50).select("doc", "score"), _hits_sql(_HALVES, _QS, without=f"d.lang = 'fr' OR {_LICENSED}") + _top(50))
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after the folders of an index with deletes have been put into one."""
+    path = f"{shared.folder(spark)}/compacted-{uuid.uuid4().hex[:8]}"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("number", F.col("doc_id"))
+    w = Writer(spark, path, _HALVES.schema)
+    for k in range(2):
+        w.add(rows.where(F.col("number") % 2 == k), local_id="number")
+    w.delete("lang", ["fr"])
+    w.delete("text", ["licensed"])
+    w.compact()
+    w.vacuum()
+    return ops.search(open_index(spark, path), _Q, 50).select("doc", "score")
+
+
+_add("compact_then_search", _compacted, _hits_sql(_HALVES, _QS, without=f"d.lang = 'fr' OR {_LICENSED}") + _top(50))
+
+
+def _snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader finds that opened the index before more was added and some deleted."""
+    path = f"{shared.folder(spark)}/snapshot-{uuid.uuid4().hex[:8]}"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("number", F.col("doc_id"))
+    w = Writer(spark, path, _HALVES.schema)
+    w.add(rows.where("number % 2 = 0"), local_id="number")
+    index = open_index(spark, path)
+    w.add(rows.where("number % 2 = 1"), local_id="number")
+    w.delete("lang", ["en"])
+    return ops.search(index, Term("text", "the"), 50).select("doc", "score")
+
+
+_EVEN = replace(SPLIT, table="(SELECT * FROM documents WHERE doc_id % 2 = 0)", segments=1)
+_add("snapshot_then_search", _snapshot, _hits_sql(_EVEN, [("text", "the")]) + _top(50))
+
+
+def _empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of an index to which nothing has been added."""
+    return ops.search(open_index(spark, f"{shared.folder(spark)}/no-such-index"), Boolean(), 10).select("doc", "score")
+
+
+_add("empty_index_search", _empty, "SELECT CAST(0 AS BIGINT) AS doc, 0.0e0 AS score WHERE false")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a word, and their scores, after two micro-batches have become segments."""
+    path = f"{shared.folder(spark)}/streamed-{uuid.uuid4().hex[:8]}"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    w = Writer(spark, path, Schema(("text",)))
+    for k in range(2):
+        rows.where(F.col("doc_id") % 2 == k).coalesce(1).write.mode("append").parquet(f"{path}-in")
+        append(spark.readStream.schema(rows.schema).parquet(f"{path}-in"), w, f"{path}-checkpoint", once=True).awaitTermination()
+    index = open_index(spark, path)
+    return ops.fetch(index, ops.search(index, Term("text", "licensed"), None), "doc_id").select("doc_id", "score")
+
+
+_add("stream_then_search", _streamed, _hits_sql(DOCS, [("text", "licensed")]) + "SELECT doc AS doc_id, score FROM hits")
+
 # Many queries at once, facets
 
 _MANY: dict[str, Query] = {"common": Term("text", "the"), "either": should(*_T("the", "of")), "both": must(*_T("the", "licensed")), "german": match("text", "der die das"), "none": Term("text", "nosuchword")}
@@ -281,6 +377,49 @@ SELECT query, CAST(rank AS INTEGER) AS rank, doc, score FROM (SELECT *, row_numb
 _add("search_many_topk", lambda spark, d: ops.search_many(index_of(spark, d, DOCS), _MANY).select("query", "rank", "doc", "score"), _many_sql())
 _add("keyword_facets", lambda spark, d: ops.facets(index_of(spark, d, DOCS), Term("text", "licensed"), "lang"), _hits_sql(DOCS, [("text", "licensed")]) + "SELECT lang AS value, count(*) AS docs FROM hits JOIN d USING (seg, id) GROUP BY lang")
 
+# Analyzers and queries of one's own, further tables
+
+analysis.register("spaces", analysis.Analyzer(lambda text: F.filter(F.split(text, " "), lambda t: t != ""), lambda text: [t for t in text.split(" ") if t]))
+SPACED = Corpus("part", Schema(("p_name",), ("p_brand",), (("p_name", "spaces"),)), "p_partkey")
+_add("own_analyzer", lambda spark, d: index_of(spark, d, SPACED).term_stats.where("field = 'p_name'").select("term", "doc_freq"), "SELECT t AS term, count(*) AS doc_freq FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS t FROM part) WHERE t <> '' GROUP BY t")
+
+
+@dataclass(frozen=True)
+class AtLeast:
+    """Documents that have some of the terms, at least so many."""
+
+    field: str
+    terms: tuple[str, ...]
+    least: int
+
+    def compiled(self, schema: Schema) -> Compiled:
+        return Compiled(tuple((self.field, t, 1.0) for t in self.terms), self.least)
+
+
+_add(
+    "own_node",
+    lambda spark, d: ops.search(index_of(spark, d, DOCS), AtLeast("text", ("the", "of", "licensed"), 2)).select("doc", "score"),
+    _hits_sql(DOCS, [("text", t) for t in ("the", "of", "licensed")]).replace("count(*) >= 1", "count(*) >= 2") + _top(10),
+)
+
+
+def _extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A further table that is made of each segment: how many characters each language has."""
+    path = f"{shared.folder(spark)}/extra-{uuid.uuid4().hex[:8]}"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("number", F.col("doc_id"))
+    w = Writer(spark, path, _HALVES.schema, {"sizes": lambda docs: docs.groupBy("segment_id", "lang").agg(F.sum("n_chars").alias("chars"))})
+    for k in range(2):
+        w.add(rows.where(F.col("number") % 2 == k), local_id="number")
+    return open_index(spark, path).extra["sizes"]
+
+
+_add("extra_table", _extra, "SELECT doc_id % 2 AS segment_id, lang, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY ALL")
+_add(
+    "invalid_utf8",
+    lambda spark, d: spark.sql("SELECT CAST(X'41FF62632D64' AS STRING) AS t").select(F.explode(analysis.tokens(F.col("t"))).alias("term")),
+    "SELECT unnest(['a\ufffdbc', 'd']) AS term",
+)
+
 # Sources
 
 
@@ -300,5 +439,16 @@ def _jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_jsonl(spark, path)
 
 
+def _key_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of every third key of a table, and of one that isn't there."""
+    path = f"{shared.folder(spark)}/kv-{uuid.uuid4().hex[:8]}"
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    key = lambda n: F.encode(F.concat(F.lit("k"), n.cast("string")), "UTF-8")
+    KeyValue.write(rows.select(key(F.col("doc_id")).alias("key"), F.encode("lang", "UTF-8").alias("value")), path)
+    keys = rows.where("doc_id % 3 = 0").select(key(F.col("doc_id")).alias("key")).unionByName(spark.range(1).select(key(F.lit(-1)).alias("key")))
+    return KeyValue(spark, path).get_many(keys).select(F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"))
+
+
+_add("key_value_get", _key_value, "SELECT 'k' || doc_id AS key, lang AS value FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'k-1', NULL")
 _add("lines_source", _lines, "SELECT row_number() OVER (ORDER BY item_id) - 1 AS line_no, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text FROM benchmark")
 _add("jsonl_roundtrip", _jsonl, "SELECT url, CAST(page_id AS VARCHAR) AS title, html AS body FROM pages")

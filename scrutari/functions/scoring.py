@@ -28,6 +28,28 @@ def bound(idf_: Column) -> Column:
     return idf_ * (K1 + 1)
 
 
+def _free(average: Column) -> Column:
+    """The length that a field of no length seems to have."""
+    return average * ((1 - B) / B)
+
+
+def impact(tf: Column, length: Column, average: Column) -> Column:
+    """Of postings of one term the one with the larger impact contributes more; see ``impact_bound``."""
+    return tf / (length + _free(average))
+
+
+def impact_bound(idf_: Column, impact_: Column, then: Column, now: Column, max_tf: Column, min_length: Column) -> Column:
+    """What no posting of a block contributes more than, from the block's largest impact at the average length ``then``.
+
+    tf / (tf + norm) is 1 / (1 + K1 * B / average / impact). The impact of a
+    posting changes with the average by the factor (length + free then) /
+    (length + free now), at most that of the shortest one, or 1.
+    """
+    grown = impact_ * F.greatest(F.lit(1.0), (min_length + _free(then)) / (min_length + _free(now)))
+    most = F.least(grown, impact(max_tf, min_length, now))
+    return idf_ * (K1 + 1) / (1 + K1 * B / now / most)
+
+
 def idf_sql(docs: str, doc_freq: str) -> str:
     return f"ln(1 + ({docs} - {doc_freq} + 0.5e0) / ({doc_freq} + 0.5e0))"
 

@@ -1,22 +1,27 @@
-"""An index on disk: immutable segments of Parquet, and a manifest that says which count.
+"""An index on disk: folders of Parquet that never change, and manifests that say which count.
 
-    <path>/manifest.json
-    <path>/documents|postings|term_stats|field_stats|lengths/segment_id=<n>/
-    <path>/deletes/generation=<n>/
+    <path>/manifest-<version>.json
+    <path>/data/<folder>/documents|postings|forward|term_stats|field_stats|extra-<name>/
+    <path>/data/<folder>/deletes/
 
-A batch of documents becomes a segment. Its files come first and the manifest
-last, by one rename; a reader keeps the manifest that it opened and so sees
-neither half a batch nor a later one. One writer at a time: a writer whose
-manifest isn't the one it read fails.
+A batch of documents becomes a segment in a folder of its own, whose name no
+other attempt has, so a writer that fails leaves everything as it was. The
+folder comes first; the next manifest, which names it, comes last and only if
+there is none of that version yet: of writers that meet, one wins and the
+others get ``ConflictError``. A reader keeps the manifest that it opened and so
+sees neither half a batch nor a later one.
 
-Renaming is atomic on file systems with a rename; object stores without one
-need a committer of their own.
+A manifest appears whole or not at all: by a rename that doesn't replace, or on
+local file systems by a link. Object stores without either need a committer of
+their own.
 """
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, replace
+import uuid
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,12 +31,9 @@ from ..operators import tables
 from ..plans.query import QueryError, Schema
 from . import shared
 
-_KINDS = {
-    "postings": "field string, term string, local_id long, tf long, len_q long, segment_id long",
-    "term_stats": "field string, term string, doc_freq long, segment_id long",
-    "field_stats": "field string, doc_count long, sum_tf long, segment_id long",
-    "lengths": "field string, local_id long, len long, len_q long, segment_id long",
-}
+#: Manifests that are kept, so that a writer who is late by fewer versions is always noticed.
+KEPT = 100
+_TABLES = {"postings": tables.POSTINGS, "forward": tables.FORWARD, "term_stats": tables.TERM_STATS, "field_stats": tables.FIELD_STATS}
 
 
 class ConflictError(RuntimeError):
@@ -42,124 +44,219 @@ class ConflictError(RuntimeError):
 class Manifest:
     text: tuple[str, ...] = ()
     keyword: tuple[str, ...] = ()
+    analyzers: tuple[tuple[str, str], ...] = ()
     version: int = 0
     segments: tuple[int, ...] = ()
     next_segment: int = 0
-    generation: int | None = None
-    batches: tuple[str, ...] = field(default=())
+    folders: tuple[str, ...] = ()
+    deletes: tuple[tuple[str, int], ...] = ()  # folders of tombstones, and how many each has
+    extra: tuple[str, ...] = ()
+    batches: dict[str, int] = field(default_factory=dict)  # by stream, the number of the last batch
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Manifest:
-        """The manifest of an index; an empty one where there is none."""
-        s = shared.read_text(spark, f"{path}/manifest.json")
-        return Manifest(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(s).items()}) if s else Manifest()
+        """The newest manifest of an index; an empty one where there is none."""
+        versions = _versions(spark, path)
+        if not versions:
+            return Manifest()
+        d = json.loads(shared.read_text(spark, _name(path, versions[-1])))
+        return Manifest(**{k: _tuples(v) for k, v in d.items()})
 
     @property
     def schema(self) -> Schema:
-        return Schema(self.text, self.keyword)
+        return Schema(self.text, self.keyword, self.analyzers)
+
+
+def _tuples(v: object) -> object:
+    return tuple(map(_tuples, v)) if isinstance(v, list) else v
+
+
+def _name(path: str, version: int) -> str:
+    return f"{path}/manifest-{version:010d}.json"
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    names = shared.names(spark, path)
+    return sorted(int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json"))
 
 
 def open_index(spark: SparkSession, path: str) -> tables.Tables:
     """The index as it is now; later changes don't show."""
     m = Manifest.read(spark, path)
-    live = [int(s) for s in m.segments]
-
-    def read(name: str) -> DataFrame:
-        if not live:
-            return spark.createDataFrame([], _KINDS[name])
-        # Only the folders of live segments are listed.
-        return spark.read.schema(_KINDS[name]).option("basePath", f"{path}/{name}").parquet(*(f"{path}/{name}/segment_id={s}" for s in live))
-
-    if live:
-        documents = spark.read.option("basePath", f"{path}/documents").option("mergeSchema", "true").parquet(*(f"{path}/documents/segment_id={s}" for s in live))
-        documents = documents.withColumn("segment_id", F.col("segment_id").cast("long"))
-    else:
-        documents = spark.createDataFrame([], ", ".join(["local_id long", *(f"{f} string" for f in m.schema.fields), "segment_id long"]))
-    if m.generation is None:
-        deletes = spark.createDataFrame([], "segment_id long, local_id long")
-    else:
-        deletes = spark.read.schema("segment_id long, local_id long").parquet(f"{path}/deletes/generation={m.generation}")
-    return tables.Tables(m.schema, documents, read("postings"), read("term_stats"), read("field_stats"), read("lengths"), deletes)
+    return _tables(spark, path.rstrip("/"), m)
+
+
+def _tables(spark: SparkSession, path: str, m: Manifest) -> tables.Tables:
+    def read(name: str, folders: tuple[str, ...], kind: str | None) -> DataFrame:
+        at = [f"{path}/data/{f}/{name}" for f in folders]
+        if not at:
+            return spark.createDataFrame([], kind)
+        # Only the folders that the manifest names are listed.
+        return spark.read.schema(kind).parquet(*at) if kind else spark.read.option("mergeSchema", len(at) > 1).parquet(*at)
+
+    empty = ", ".join(["segment_id long", "local_id long", *(f"{f} string" for f in m.schema.fields)])
+    documents = read("documents", m.folders, None if m.folders else empty)
+    own = {n: read(n, m.folders, kind) for n, kind in _TABLES.items()}
+    deletes = read("deletes", tuple(f for f, _ in m.deletes), "segment_id long, local_id long") if m.deletes else None
+    extra = {n: read(f"extra-{n}", m.folders, None) for n in m.extra if m.folders}
+    return tables.Tables(
+        m.schema, documents, own["postings"], own["term_stats"], own["field_stats"], tables.lengths(own["forward"]), deletes, sum(n for _, n in m.deletes), extra
+    )
 
 
 class Writer:
-    """Adds batches to an index, and deletes from it."""
+    """Adds batches to an index, and deletes from it.
+
+    ``extra`` are further tables that are made of each batch, by name: functions
+    of its documents, with ``segment_id`` and ``local_id``, that give a DataFrame.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: Schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+    def __init__(self, spark: SparkSession, path: str, schema: Schema, extra: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+        self.spark, self.path, self.schema, self.extra = spark, path.rstrip("/"), schema, extra or {}
         m = Manifest.read(spark, self.path)
         if m.version and m.schema != schema:
             raise QueryError(f"the index has other fields: {m.schema}")
+        if m.version and m.folders and set(m.extra) != set(self.extra):
+            raise QueryError(f"the index has other further tables: {m.extra}")
 
     def _commit(self, old: Manifest, new: Manifest) -> None:
-        if Manifest.read(self.spark, self.path).version != old.version:
+        versions = _versions(self.spark, self.path)
+        done = replace(
+            new, text=self.schema.text, keyword=self.schema.keyword, analyzers=self.schema.analyzers, extra=tuple(sorted(self.extra)), version=old.version + 1
+        )
+        if (versions[-1] if versions else 0) != old.version or not shared.create_text(self.spark, _name(self.path, done.version), json.dumps(asdict(done))):
             raise ConflictError(f"the index at {self.path} has changed")
-        done = replace(new, text=self.schema.text, keyword=self.schema.keyword, version=old.version + 1)
-        shared.replace_text(self.spark, f"{self.path}/manifest.json", json.dumps(done.__dict__))
+        for v in versions[: -KEPT or None]:
+            shared.remove(self.spark, _name(self.path, v))
 
-    def add(self, documents: DataFrame, local_id: str | None = None, batch: str | None = None) -> int | None:
-        """Make ``documents`` a segment and return its number; None if there are none, or ``batch`` is in the index already.
+    def _folder(self) -> tuple[str, str]:
+        name = uuid.uuid4().hex
+        return name, f"{self.path}/data/{name}"
 
-        Places in the segment are counted from 0, or taken from ``local_id``, a
-        column of distinct numbers from 0 to 2**32 - 1.
+    def _keep(self, df: DataFrame, at: str, kind: str | None = None) -> DataFrame:
+        df.write.parquet(at)
+        return self.spark.read.schema(kind or df.schema).parquet(at)
+
+    def add(self, documents: DataFrame, local_id: str | None = None, batch: tuple[str, int] | None = None) -> int | None:
+        """Make ``documents`` a segment and return its number; None if there are none, or if ``batch`` (a stream's name
+        and the batch's number) or a later one of that stream is in the index already.
+
+        Places in the segment are counted from 0 in the order of the rows, or
+        taken from ``local_id``, a column of distinct numbers from 0 to 2**32 - 1.
         """
         m = Manifest.read(self.spark, self.path)
-        if batch is not None and batch in m.batches:
+        if batch is not None and batch[1] <= m.batches.get(batch[0], -1):
             return None
         for f in self.schema.fields:
             if f not in documents.columns:
                 raise QueryError(f"no such field: {f!r}")
-        segment, path = m.next_segment, self.path
-        at = {name: f"{path}/{name}/segment_id={segment}" for name in ("staged", "documents", *_KINDS)}
-        rows = documents.drop("segment_id", *([] if local_id == "local_id" else ["local_id"]))
+        folder, at = self._folder()
+        segment = m.next_segment
+        try:
+            if not self._write(documents, local_id, segment, at):
+                shared.remove(self.spark, at)
+                return None
+            batches = m.batches if batch is None else m.batches | {batch[0]: batch[1]}
+            self._commit(m, replace(m, segments=(*m.segments, segment), next_segment=segment + 1, folders=(*m.folders, folder), batches=batches))
+        except BaseException:
+            shared.remove(self.spark, at)
+            raise
+        return segment
+
+    def _write(self, documents: DataFrame, local_id: str | None, segment: int, at: str) -> bool:
+        """The tables of one segment; False if it has no documents."""
+        own = F.lit(segment).cast("long").alias("segment_id")
+        others = [c for c in documents.columns if c.lower() not in ("segment_id", "local_id")]
+        rest = [documents[f"`{c}`"] for c in others]
         if local_id is not None:
-            rows.withColumn("local_id", documents[local_id].cast("long")).write.mode("overwrite").parquet(at["documents"])
+            kept = self._keep(documents.select(own, documents[f"`{local_id}`"].cast("long").alias("local_id"), *rest), f"{at}/documents")
+            n = kept.agg(F.count("*").alias("n"), F.count("local_id").alias("known"), F.min("local_id").alias("least"), F.max("local_id").alias("most")).head()
+            if not n["n"]:
+                return False
+            if n["known"] < n["n"] or n["least"] < 0 or n["most"] >= 1 << 32:
+                raise QueryError(f"places must be numbers from 0 to 2**32 - 1: {local_id!r}")
+            if not kept.groupBy("local_id").count().where("count > 1").isEmpty():
+                raise QueryError(f"places must be distinct: {local_id!r}")
         else:
             # Written first: a place counted in one run must not differ in the next.
-            rows.withColumn("local_id", F.monotonically_increasing_id()).write.mode("overwrite").parquet(at["staged"])
-            staged = self.spark.read.parquet(at["staged"])
+            staged = self._keep(documents.select(F.monotonically_increasing_id().alias("local_id"), *rest), f"{at}/staged")
             part = F.shiftright("local_id", 33)
             count = staged.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
             before = count.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
             # As many rows as the batch has partitions.
             placed = staged.withColumn("part", part).join(F.broadcast(before), "part")
-            placed = placed.withColumn("local_id", F.col("before") + F.col("local_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "before")
-            placed.write.mode("overwrite").parquet(at["documents"])
-            shared.remove(self.spark, at["staged"])
-        kept = self.spark.read.parquet(at["documents"])
-        if kept.isEmpty():
-            shared.remove(self.spark, at["documents"])
-            return None
-        kept = kept.withColumn("segment_id", F.lit(segment).cast("long"))
-
-        def keep(df: DataFrame, name: str, *order: str) -> DataFrame:
-            df = df.drop("segment_id")
-            if order:  # a term's rows lie together, so that a scan for it skips all other row groups
-                df = df.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
-            df.write.mode("overwrite").parquet(at[name])
-            return self.spark.read.parquet(at[name]).withColumn("segment_id", F.lit(segment).cast("long"))
-
-        postings = keep(tables.postings(kept, self.schema), "postings", "field", "term", "local_id")
-        keep(tables.term_stats(postings), "term_stats", "field", "term")
-        n = keep(tables.lengths(kept, self.schema), "lengths")
-        keep(tables.field_stats(n).coalesce(1), "field_stats")
-        batches = m.batches if batch is None else (*m.batches, batch)
-        self._commit(m, replace(m, segments=(*m.segments, segment), next_segment=segment + 1, batches=batches))
-        return segment
+            place = F.col("before") + F.col("local_id").bitwiseAND(F.lit((1 << 33) - 1))
+            kept = self._keep(placed.select(own, place.alias("local_id"), *(placed[f"`{c}`"] for c in others)), f"{at}/documents")
+            shared.remove(self.spark, f"{at}/staged")
+            if kept.isEmpty():
+                return False
+        forward = self._keep(tables.forward(kept.repartition(spread) if (spread := self._spread(kept)) else kept, self.schema), f"{at}/forward", tables.FORWARD)
+        stats = self._keep(tables.field_stats(tables.lengths(forward)).coalesce(1), f"{at}/field_stats", tables.FIELD_STATS)
+        self._finish(tables.stored(tables.flat(forward), stats), at)
+        for name, make in self.extra.items():
+            make(kept).write.parquet(f"{at}/extra-{name}")
+        return True
+
+    def _spread(self, rows: DataFrame) -> int:
+        """Into how many partitions rows must go so that all cores work, 0 if they have as many: what is small lies in few files."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return cores if rows.rdd.getNumPartitions() < cores else 0
+
+    def _finish(self, blocks: DataFrame, at: str) -> None:
+        # A term's rows lie together, so that a scan for it skips all other row groups and pages.
+        blocks = self._keep(blocks.sortWithinPartitions("field", "term", "block"), f"{at}/postings", tables.POSTINGS)
+        self._keep(tables.term_stats(blocks).sortWithinPartitions("field", "term"), f"{at}/term_stats", tables.TERM_STATS)
 
     def delete(self, field: str, values: list[str]) -> int | None:
-        """Mark documents of which ``field`` has any of the terms as deleted; the new generation, None if nothing changes.
+        """Mark documents of which ``field`` has any of the terms as deleted; the number of this deletion, None if nothing changes.
 
-        A generation holds all deletes so far.
+        Only what wasn't deleted before is written.
         """
         m = Manifest.read(self.spark, self.path)
-        index = open_index(self.spark, self.path)
-        found = ops.exact(index, field, values, include_deleted=False).select("segment_id", "local_id")
-        generation = 0 if m.generation is None else m.generation + 1
-        path = f"{self.path}/deletes/generation={generation}"
-        index.deletes.unionByName(found).write.mode("overwrite").parquet(path)
-        if self.spark.read.parquet(path).count() == index.deletes.count():
-            shared.remove(self.spark, path)
-            return None
-        self._commit(m, replace(m, generation=generation))
-        return generation
+        folder, at = self._folder()
+        found = ops.exact(_tables(self.spark, self.path, m), field, values, include_deleted=False).select("segment_id", "local_id")
+        try:
+            n = self._keep(found, f"{at}/deletes").count()
+            if not n:
+                shared.remove(self.spark, at)
+                return None
+            self._commit(m, replace(m, deletes=(*m.deletes, (folder, n))))
+        except BaseException:
+            shared.remove(self.spark, at)
+            raise
+        return len(m.deletes)
+
+    def compact(self) -> None:
+        """Put all segments, and all tombstones, into one folder each; ids, statistics and results stay as they are.
+
+        A stream leaves a folder for each micro-batch, and every folder costs a
+        search a few files to open. The old ones stay for readers that have them open, until ``vacuum``.
+        """
+        m = Manifest.read(self.spark, self.path)
+        if len(m.folders) < 2 and len(m.deletes) < 2:
+            return
+        folder, at = self._folder()
+        old = _tables(self.spark, self.path, m)
+        try:
+            if m.folders:
+                old.documents.write.parquet(f"{at}/documents")
+                forward = self.spark.read.schema(tables.FORWARD).parquet(*(f"{self.path}/data/{f}/forward" for f in m.folders))
+                forward.write.parquet(f"{at}/forward")
+                old.field_stats.coalesce(1).write.parquet(f"{at}/field_stats")
+                self._finish(old.blocks.repartitionByRange("field", "term", "block"), at)
+                for name, df in old.extra.items():
+                    df.write.parquet(f"{at}/extra-{name}")
+            if old.deletes is not None:
+                old.deletes.write.parquet(f"{at}/deletes")
+            self._commit(m, replace(m, folders=(folder,) if m.folders else (), deletes=((folder, old.tombstones),) if m.deletes else ()))
+        except BaseException:
+            shared.remove(self.spark, at)
+            raise
+
+    def vacuum(self) -> None:
+        """Delete folders that the newest manifest doesn't name. Not while others write, or read what is older."""
+        m = Manifest.read(self.spark, self.path)
+        live = {*m.folders, *(f for f, _ in m.deletes)}
+        for name in shared.names(self.spark, f"{self.path}/data"):
+            if name not in live:
+                shared.remove(self.spark, f"{self.path}/data/{name}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -16,11 +16,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text")
     )
-    first = lines.groupBy("file", "start").agg(F.min("at").alias("least"), F.count("*").alias("n"))
-    mine, other = first.alias("mine"), first.alias("other")
-    before = mine.join(other, (F.col("mine.file") == F.col("other.file")) & (F.col("other.start") < F.col("mine.start")), "left")
-    before = before.groupBy(F.col("mine.file").alias("file"), F.col("mine.start").alias("start"), F.col("mine.least").alias("least")).agg(F.coalesce(F.sum("other.n"), F.lit(0)).alias("before"))
-    return lines.join(before, ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("least")).alias("line_no"), "text")
+    # One row a split, whose lines before it are a running sum within its file.
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    split = lines.groupBy("file", "start").agg(F.min("at").alias("least"), F.count("*").alias("n"))
+    split = split.select("file", "start", "least", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return lines.join(split, ["file", "start"]).select("file", (F.col("before") + F.col("at") - F.col("least")).alias("line_no"), "text")
 
 
 def read_jsonl(spark: SparkSession, path: str, fields: tuple[str, ...] = ("url", "title", "body")) -> DataFrame:

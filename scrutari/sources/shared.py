@@ -6,19 +6,24 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """A folder of this application below ``spark.checkpoint.dir``, removed when the driver ends; a temporary one where that is unset."""
+    """A folder of this application below ``spark.checkpoint.dir``, removed when the driver ends.
+
+    A temporary one where that is unset and all is on one machine; elsewhere that is an error.
+    """
     app = spark.sparkContext.applicationId
     if app not in _own:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="scrutari-")
-            spark.conf.set("spark.checkpoint.dir", base)
         _own[app] = f"{base.rstrip('/')}/scrutari-index-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_remove_quietly, spark, _own[app])
     return _own[app]
@@ -46,11 +51,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def read_text(spark: SparkSession, path: str) -> str | None:
-    """A small file's text; None where there is no such file."""
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing where there is no such folder."""
+    p, fs = _path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
     p, fs = _path(spark, path)
-    if not fs.exists(p):
-        return None
     stream = fs.open(p)
     try:
         return bytes(stream.readAllBytes()).decode()
@@ -58,17 +67,30 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file beside ``path`` and put it in its place by one rename."""
-    jvm = spark._jvm
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a small file appear whole under a name that no file has; False if there is one."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new = f"{path}.{uuid.uuid4().hex[:8]}.new"
     p, fs = _path(spark, new)
-    stream = fs.create(p, True)
+    target = jvm.org.apache.hadoop.fs.Path(path)
     try:
-        stream.write(bytearray(text.encode()))
+        stream = fs.create(p, False)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        try:
+            if fs.getUri().getScheme() == "file":
+                # A rename of local files looks for the target first and so isn't atomic; a link is.
+                to, of = (jvm.java.nio.file.Paths.get(x.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.String, 0)) for x in (target, p))
+                jvm.java.nio.file.Files.createLink(to, of)
+            else:
+                none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), conf).rename(p, target, none)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
     finally:
-        stream.close()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(p, target, options)
+        fs.delete(p, False)

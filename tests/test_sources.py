@@ -3,6 +3,7 @@ from pyspark.errors import AnalysisException
 
 from scrutari.operators import search as ops
 from scrutari.plans.query import Schema, Term
+from scrutari.sources import shared
 from scrutari.sources.index import Manifest, Writer, open_index
 from scrutari.sources.keyvalue import KeyValue
 from scrutari.sources.readers import read_jsonl, read_lines
@@ -45,7 +46,27 @@ def test_stream_is_added_once(spark, tmp_path):
         spark.createDataFrame([(k, f"word{k} common")], "id long, text string").coalesce(1).write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("id long, text string").parquet(str(source))
         append(stream, w, str(tmp_path / "checkpoint"), once=True).awaitTermination(120)
-    assert Manifest.read(spark, path).batches == ("stream-0", "stream-1")
+    assert Manifest.read(spark, path).batches == {"stream": 1}
     index = open_index(spark, path)
     assert ops.search(index, Term("text", "common")).count() == 2
     assert ops.search(index, Term("text", "word1")).count() == 1
+
+
+def test_lines_need_no_self_join(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("x\n")
+    plan = read_lines(spark, str(tmp_path / "a.txt"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and plan.count("Join") == 1
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Context:
+        applicationId, master = "other-app", "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError):
+        shared.folder(Session())
