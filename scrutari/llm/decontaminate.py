@@ -8,16 +8,22 @@ to the whole shared span. Spans shorter than the guarantee are discarded, so
 the result is exactly the set of maximal shared spans of at least ``SPAN``
 words: winnowing decides only what it costs.
 
-Words are maximal runs of letters and digits of the lower-cased text.
+Words are maximal runs of letters, digits and combining marks of the
+lower-cased text. In scripts that don't part words by spaces (Chinese,
+Japanese, Thai and some more) each character is a word, and counts half: there
+a span has at least 2 * ``SPAN`` characters.
 
 The benchmark goes to the executors in pieces of at most ``PIECE`` words, each
 with its own pass over the documents, so that memory doesn't depend on its
-size; a usual benchmark is one piece. Documents never move.
+size; a usual benchmark is one piece. Documents never move. Items of equal text
+are one item. To decide whether a document goes, hits are compared with the
+different contexts only that a fingerprint has in the benchmark: a prompt that
+begins a hundred thousand items costs, but for its last words, what it costs in one.
 
 Defined results: null, empty and short texts have no span; an item of less
 than ``SPAN`` words matches nothing; repeated rows are reported as often as
-they occur; equal items each match; empty tables give an empty result. Other
-columns aren't read.
+they occur; items of equal text are reported once, with the least of their ids;
+empty tables give an empty result. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -74,6 +80,10 @@ def fingerprints(hashes: np.ndarray, doc: np.ndarray, gram: int = GRAM, window:
     return g[pos], pos
 
 
+#: Words around a gram that decide whether a span is long enough.
+REACH = 2 * SPAN - GRAM
+
+
 class Benchmark:
     """Words and sorted fingerprints of a piece of the benchmark."""
 
@@ -87,25 +97,68 @@ class Benchmark:
         self.bits = 22
         self.some = np.zeros(1 << self.bits, bool)
         self.some[(self.fp & np.uint64((1 << self.bits) - 1)).astype(np.int64)] = True
-
-    def spans(self, hashes: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(document, item, first word in the document, first word in the item, words), by index, without repeats."""
+        # Of the places of a fingerprint one for each context within REACH.
+        item = np.searchsorted(self.doc, self.pos, side="right") - 1
+        a, b = np.maximum(self.pos - REACH, self.doc[item]), np.minimum(self.pos + GRAM + REACH, self.doc[item + 1])
+        power, inverse = tokens._power(len(w.hashes) + 1)
+        sums = np.zeros(len(w.hashes) + 1, np.uint64)
+        np.cumsum(tokens.mix(w.hashes) * power[: len(w.hashes)], out=sums[1:])
+        context = tokens.mix((sums[b] - sums[a]) * inverse[a]) + (self.pos - a).astype(np.uint64) * np.uint64(REACH + 1) + (b - self.pos).astype(np.uint64)
+        order = np.lexsort((context, self.fp))
+        f, c = self.fp[order], context[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (f[1:] != f[:-1]) | (c[1:] != c[:-1])
+        one = np.sort(order[new])
+        self.one_fp, self.one_pos = self.fp[one], self.pos[one]
+
+    def _hits(self, hashes: np.ndarray, doc: np.ndarray, single: np.ndarray, fps: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Place in the texts, place in the benchmark, text and item of each hit that is part of a long enough span."""
         fp, pos = fingerprints(hashes, doc)
         maybe = self.some[(fp & np.uint64((1 << self.bits) - 1)).astype(np.int64)]
         fp, pos = fp[maybe], pos[maybe]
-        lo = np.searchsorted(self.fp, fp, side="left")
-        n = np.searchsorted(self.fp, fp, side="right") - lo
+        lo = np.searchsorted(fps, fp, side="left")
+        n = np.searchsorted(fps, fp, side="right") - lo
         hit = n > 0
         lo, n, pos = lo[hit], n[hit], pos[hit]
-        if not len(pos):
-            return []
-        a = np.repeat(pos, n)
-        b = self.pos[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        d = np.searchsorted(doc, a, side="right") - 1
-        item = np.searchsorted(self.doc, b, side="right") - 1
+        found = [(np.empty(0, np.int64),) * 4]
+        total = np.cumsum(n)
+        i = 0
+        while i < len(pos):  # some hits at a time, as a fingerprint may have many places
+            k = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + 1_000_000)))
+            m = n[i:k]
+            a = np.repeat(pos[i:k], m)
+            b = places[np.repeat(lo[i:k], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+            d, item = np.searchsorted(doc, a, side="right") - 1, np.searchsorted(self.doc, b, side="right") - 1
+            weight = np.zeros(len(a), np.int64)
+            for step, reach in ((1, GRAM + REACH), (-1, REACH)):
+                on = np.arange(len(a))
+                for j in range(reach):
+                    x, y = (a[on] + j, b[on] + j) if step > 0 else (a[on] - 1 - j, b[on] - 1 - j)
+                    inside = (x < doc[d[on] + 1]) & (y < self.doc[item[on] + 1]) if step > 0 else (x >= doc[d[on]]) & (y >= self.doc[item[on]])
+                    on, x, y = on[inside], x[inside], y[inside]
+                    same = hashes[x] == self.hashes[y]
+                    on, x = on[same], x[same]
+                    if not len(on):
+                        break
+                    weight[on] += 2 - single[x]
+            good = weight >= 2 * SPAN
+            found.append((a[good], b[good], d[good], item[good]))
+            i = k
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def shared(self, w: tokens.Words) -> np.ndarray:
+        """Which texts have a span in common with an item."""
+        out = np.zeros(len(w.doc) - 1, bool)
+        out[self._hits(w.hashes, w.doc, w.single, self.one_fp, self.one_pos)[2]] = True
+        return out
+
+    def spans(self, w: tokens.Words) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, first word in the document, first word in the item, words), by index, without repeats."""
+        hashes, doc = w.hashes, w.doc
         out = []
         done: dict[tuple[int, int], int] = {}  # by diagonal and item: the end of what is reported
-        for x, y, i, j in sorted(zip(a.tolist(), b.tolist(), d.tolist(), item.tolist())):
+        hits = self._hits(hashes, doc, w.single, self.fp, self.pos)
+        for x, y, i, j in sorted(zip(*(h.tolist() for h in hits))):
             if done.get((x - y, j), -1) > x:
                 continue
             back = min(x - int(doc[i]), y - int(self.doc[j]))
@@ -115,15 +168,15 @@ class Benchmark:
             differ = np.flatnonzero(hashes[x - back : x][::-1] != self.hashes[y - back : y][::-1])
             left = int(differ[0]) if len(differ) else back
             done[x - y, j] = x + right
-            if left + right >= SPAN:
-                out.append((i, j, x - left - int(doc[i]), y - left - int(self.doc[j]), left + right))
+            out.append((i, j, x - left - int(doc[i]), y - left - int(self.doc[j]), left + right))
         return out
 
 
 def _pieces(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list, list]]:
     """The benchmark, read through the driver in bounded pieces of whole items."""
     ids, texts, size = [], [], 0
-    for r in benchmark.select(F.col(id_col), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).toLocalIterator():
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    for r in items.groupBy("text").agg(F.min("id").alias("id")).select("id", "text").toLocalIterator():
         n = len(r[1]) // 2 + 1
         if ids and size + n > PIECE:
             yield ids, texts
@@ -147,8 +200,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         def find(it: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             b = model.value
             for batch, texts in runtime.batches(it):
-                w = tokens.words(texts)
-                spans = b.spans(w.hashes, w.doc)
+                spans = b.spans(tokens.words(texts))
                 if not spans:
                     continue
                 d, j, x, y, n = (list(c) for c in zip(*spans))
@@ -175,10 +227,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def clean(it: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             for batch, texts in runtime.batches(it, text_col):
-                w = tokens.words(texts)
-                keep = np.ones(len(texts), bool)
-                keep[[s[0] for s in model.value.spans(w.hashes, w.doc)]] = False
-                yield batch.filter(pa.array(keep))
+                yield batch.filter(pa.array(~model.value.shared(tokens.words(texts))))
 
         out = runtime.mapped(out, clean, out.schema)
     return out
@@ -190,15 +239,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = f"""
-WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
+WITH d AS (SELECT doc_id, {tokens.words_sql("text")} AS w FROM documents),
+b AS (SELECT item_id, {tokens.words_sql("text")} AS w FROM (SELECT min(item_id) AS item_id, text FROM benchmark WHERE text IS NOT NULL GROUP BY text)),
 dg AS (SELECT doc_id, i AS x, array_to_string(w[i:i + {SPAN - 1}], ' ') AS g
        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM d WHERE len(w) >= {SPAN})),
-bg AS (SELECT item_id, i AS y, array_to_string(w[i:i + {SPAN - 1}], ' ') AS g
+bg AS (SELECT item_id, i AS y, w[i + {SPAN - 1}] AS last, array_to_string(w[i:i + {SPAN - 1}], ' ') AS g, len(list_filter(w[i:i + {SPAN - 1}], lambda t: regexp_matches(t, '^[{tokens.SINGLE}]'))) AS singles
        FROM (SELECT item_id, w, unnest(range(1, len(w) - {SPAN - 2})) AS i FROM b WHERE len(w) >= {SPAN})),
-hits AS (SELECT doc_id, item_id, x, y, x - row_number() OVER (PARTITION BY doc_id, item_id, x - y ORDER BY x) AS island
-         FROM dg JOIN bg USING (g))
-SELECT doc_id, item_id, CAST(min(x) - 1 AS INTEGER) AS doc_start, CAST(min(y) - 1 AS INTEGER) AS item_start,
-       CAST(count(*) + {SPAN - 1} AS INTEGER) AS words
-FROM hits GROUP BY doc_id, item_id, x - y, island
+hits AS (SELECT doc_id, item_id, x, y, last, singles, x - row_number() OVER (PARTITION BY doc_id, item_id, x - y ORDER BY x) AS island
+         FROM dg JOIN bg USING (g)),
+spans AS (SELECT doc_id, item_id, min(x) - 1 AS doc_start, min(y) - 1 AS item_start, count(*) + {SPAN - 1} AS words,
+          arg_min(singles, x) + count(*) FILTER (WHERE regexp_matches(last, '^[{tokens.SINGLE}]')) - CAST(regexp_matches(arg_min(last, x), '^[{tokens.SINGLE}]') AS INTEGER) AS singles
+          FROM hits GROUP BY doc_id, item_id, x - y, island)
+SELECT doc_id, item_id, CAST(doc_start AS INTEGER) AS doc_start, CAST(item_start AS INTEGER) AS item_start, CAST(words AS INTEGER) AS words
+FROM spans WHERE 2 * words - singles >= {2 * SPAN}
 """

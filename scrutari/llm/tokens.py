@@ -1,7 +1,8 @@
 """Words of many texts at once, as 64-bit hashes in numpy arrays.
 
-A word is a maximal run of letters and digits (``str.isalnum``) of the
-lower-cased text. Everything is done on code points of the whole batch, so the
+A word is a maximal run of letters, digits and combining marks of the
+lower-cased text; in scripts that don't part words by spaces every character is
+a word of its own. Everything is done on code points of the whole batch, so the
 cost per character is a handful of vectorised passes.
 """
 
@@ -11,15 +12,42 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
+#: Scripts without spaces between words, and what else words are made of; the same for RE2's regular expressions.
+SINGLE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+WORD = rf"[{SINGLE}]|(?:[^\P{{L}}{SINGLE}]|[^\P{{N}}{SINGLE}]|[^\P{{M}}{SINGLE}])+"
+#: Characters whose lower case depends on context or is more than one character, mapped first.
+_FIRST = (("İ", "i"), ("Σ", "σ"))
+
+
+def lower(text: str | None) -> str:
+    """A text in lower case, character by character; a null is empty."""
+    text = text or ""
+    for a, b in _FIRST:
+        text = text.replace(a, b)
+    return text.lower()
+
+
+def words_sql(text: str) -> str:
+    """The words of a text, in DuckDB's SQL."""
+    for a, b in _FIRST:
+        text = f"replace({text}, '{a}', '{b}')"
+    return f"regexp_extract_all(lower({text}), '{WORD}')"
+
 
 @lru_cache(1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    alnum = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
-    return alnum, mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(1))
+    """Of each code point what it is (1 part of a word, 2 a word), and its value in hashes."""
+    kind = np.zeros(0x110000, np.uint8)
+    # Nothing is assigned between, but for private use and surrogates.
+    chars = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x33500), *range(0xE0100, 0xE01F0)]))
+    for k, pattern in ((1, r"[\p{L}\p{N}\p{M}]"), (2, f"[{SINGLE}]")):
+        kind[[ord(c) for c in regex.findall(pattern, chars)]] = k
+    return kind, mix(np.arange(0x110000, dtype=np.uint64) + np.uint64(1))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,6 +79,7 @@ class Words:
     end: np.ndarray
     sums: np.ndarray  # prefix sums, for the hashes of parts of words
     points: np.ndarray  # the code points
+    single: np.ndarray  # by word, whether it is a character of a script without spaces
 
     def prefix(self, length: int) -> np.ndarray:
         """Hashes of the first ``length`` characters; those of the whole word where it is shorter."""
@@ -62,21 +91,22 @@ class Words:
 
 def words(texts: list[str | None]) -> Words:
     """Words of all texts; a null has none."""
-    alnum, value = _tables()
-    lower = [(t or "").lower() for t in texts]
-    joined = " ".join(lower) + " "
+    kinds, value = _tables()
+    plain = [lower(t) for t in texts]
+    joined = " ".join(plain) + " "
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    inside = alnum[cp]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if len(inside) and inside[0]:
-        edge = np.concatenate(([0], edge))
-    start, end = edge[::2], edge[1::2]
+    kind = kinds[cp]
+    run, own = kind == 1, kind == 2
+    begin, stop = run.copy(), run.copy()
+    begin[1:] &= ~run[:-1]
+    stop[:-1] &= ~run[1:]
+    start, end = np.flatnonzero(begin | own), np.flatnonzero(stop | own) + 1
     n = len(cp)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(value[cp] * _power(n + 1)[0][:n], out=sums[1:])
     at = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(t) + 1 for t in lower], out=at[1:])
-    w = Words(np.empty(0, np.uint64), np.searchsorted(start, at), start, end, sums, cp)
+    np.cumsum([len(t) + 1 for t in plain], out=at[1:])
+    w = Words(np.empty(0, np.uint64), np.searchsorted(start, at), start, end, sums, cp, own[start])
     w.hashes = w._between(start, end)
     return w
 
