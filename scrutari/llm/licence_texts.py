@@ -196,4 +196,104 @@ TEMPLATES = {
     "Reserved/copyright": "Copyright. All rights reserved.",
 } | {f"{k}/statement": f"Licensed under {short}." for k, (short, _) in _CREATIVE.items()} | {
     f"{k}/work": f"This work is licensed under a Creative Commons {long} 4.0 International License." for k, (_, long) in _CREATIVE.items()
+} | {
+    "0BSD/text": (
+        "Permission to use, copy, modify, and/or "
+        "distribute this software for any purpose "
+        "with or without fee is hereby granted. THE "
+        "SOFTWARE IS PROVIDED \"AS IS\" AND THE "
+        "AUTHOR DISCLAIMS ALL WARRANTIES WITH "
+        "REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND "
+        "FITNESS. IN NO EVENT SHALL THE AUTHOR BE "
+        "LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, "
+        "OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF "
+        "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+        "ACTION, ARISING OUT OF OR IN CONNECTION "
+        "WITH THE USE OR PERFORMANCE OF THIS "
+        "SOFTWARE."
+    ),
+    "Zlib/text": (
+        "This software is provided 'as-is', without "
+        "any express or implied warranty. In no "
+        "event will the authors be held liable for "
+        "any damages arising from the use of this "
+        "software. Permission is granted to anyone "
+        "to use this software for any purpose, "
+        "including commercial applications, and to "
+        "alter it and redistribute it freely, "
+        "subject to the following restrictions: 1. "
+        "The origin of this software must not be "
+        "misrepresented; you must not claim that "
+        "you wrote the original software. If you "
+        "use this software in a product, an "
+        "acknowledgment in the product "
+        "documentation would be appreciated but is "
+        "not required. 2. Altered source versions "
+        "must be plainly marked as such, and must "
+        "not be misrepresented as being the "
+        "original software. 3. This notice may not "
+        "be removed or altered from any source "
+        "distribution."
+    ),
+    "BSL-1.0/text": (
+        "Permission is hereby granted, free of "
+        "charge, to any person or organization "
+        "obtaining a copy of the software and "
+        "accompanying documentation covered by this "
+        "license (the \"Software\") to use, "
+        "reproduce, display, distribute, execute, "
+        "and transmit the Software, and to prepare "
+        "derivative works of the Software, and to "
+        "permit third-parties to whom the Software "
+        "is furnished to do so, all subject to the "
+        "following: The copyright notices in the "
+        "Software and this entire statement, "
+        "including the above license grant, this "
+        "restriction and the following disclaimer, "
+        "must be included in all copies of the "
+        "Software, in whole or in part, and all "
+        "derivative works of the Software, unless "
+        "such copies or derivative works are solely "
+        "in the form of machine-executable object "
+        "code generated by a source language "
+        "processor."
+    ),
+    "BSL-1.0/notice": (
+        "Distributed under the Boost Software "
+        "License, Version 1.0. (See accompanying "
+        "file LICENSE_1_0.txt or copy at "
+        "https://www.boost.org/LICENSE_1_0.txt)"
+    ),
+    "CC0-1.0/statement": (
+        "To the extent possible under law, the "
+        "author has waived all copyright and "
+        "related or neighboring rights to this "
+        "work."
+    ),
+    "CC0-1.0/licensed": (
+        "Licensed under CC0 1.0 Universal."
+    ),
+    "EPL-2.0/notice": (
+        "This program and the accompanying "
+        "materials are made available under the "
+        "terms of the Eclipse Public License 2.0 "
+        "which is available at "
+        "https://www.eclipse.org/legal/epl-2.0"
+    ),
+    "EPL-2.0/statement": (
+        "This work is licensed under the Eclipse "
+        "Public License, version 2.0."
+    ),
+    "Artistic-2.0/statement": (
+        "This is free software, licensed under: The "
+        "Artistic License 2.0"
+    ),
+    "Artistic-2.0/terms": (
+        "You can redistribute it and/or modify it "
+        "under the terms of the Artistic License "
+        "2.0."
+    ),
 }

@@ -1,20 +1,16 @@
 """Licence texts in documents, by the Dice coefficient over word bigrams.
 
-Text and templates are normalised to lower-case words. A unit of a document is
-a line, a paragraph (what empty lines part) or the whole text. Its similarity
-to a template is 2 * |A and B| / (|A| + |B|) over the multisets of their
-bigrams. Only templates whose size allows ``THRESHOLD`` are compared:
-t / (2 - t) * |B| <= |A| <= (2 - t) / t * |B|; and a unit of which too few
-bigrams occur in any template isn't compared at all. Neither changes a result.
-
-With ``anywhere`` the units are all windows of successive words of a text
-instead, across lines and paragraphs, so that a statement within a line and a
-notice of several paragraphs are found too; lines, paragraphs and the whole
-text are among these windows. The query compares the units that its SQL has.
+Text and templates are normalised to lower-case words. Compared with a template
+are all windows of successive words of a text, across lines and paragraphs, so
+that a statement within a line, a notice of several paragraphs and a whole text
+are found alike. The similarity is 2 * |A and B| / (|A| + |B|) over the
+multisets of their bigrams. Only windows whose size allows ``THRESHOLD`` are
+looked at: t / (2 - t) * |B| <= |A| <= (2 - t) / t * |B|; and templates of
+which a text has too few bigrams aren't compared at all. Neither changes a result.
 
 Defined results: one row (doc_id, licence, dice) for each row of the table and
-each template that one of its units resembles, with the best unit's value;
-null and empty texts and units of one word resemble nothing; repeated rows are
+each template that a window of it resembles, with the best window's value;
+null and empty texts and texts of one word resemble nothing; repeated rows are
 reported as often as they occur; texts are covered whole, whatever their
 length; an empty table gives an empty result. Other columns aren't read.
 """
@@ -63,47 +59,12 @@ class Templates:
         out[maybe[good]] = k[good]
         return out
 
-    def matches(self, texts: list[str | None], anywhere: bool = False) -> list[tuple[int, int, float]]:
-        """(text, template, dice), by index; of all windows of words if ``anywhere``, else of units."""
-        if not self.names:
-            return []
+    def matches(self, texts: list[str | None]) -> list[tuple[int, int, float]]:
+        """(text, template, dice) of each text's best window for each template, by index."""
         w = tokens.words(texts)
-        n = len(w.hashes)
-        if n < 2:
+        if not self.names or len(w.hashes) < 2:
             return []
-        at = self.find(_bigrams(w.hashes))
-        if anywhere:
-            return self._windows(at, w.doc)
-        seen = np.concatenate(([0], np.cumsum(at >= 0)))
-        # Newlines before each word decide where units begin.
-        lines = np.concatenate(([0], np.cumsum(w.points == 10)))
-        gap = lines[w.start[1:]] - lines[w.end[:-1]]
-        new = np.zeros(n, bool)
-        new[w.doc[:-1][np.diff(w.doc) > 0]] = True
-        units = []
-        for least in (1, 2, 1 << 60):
-            begin = np.flatnonzero(new | np.concatenate(([False], gap >= least)))
-            units.append(np.stack((begin, np.concatenate((begin[1:], [n])))))
-        a, b = np.unique(np.concatenate(units, axis=1), axis=1)
-        size = b - a - 1
-        keep = (size >= max(1, self.low.min())) & (size <= self.high.max())
-        a, b, size = a[keep], b[keep], size[keep]
-        # A bigram over the end of a unit isn't its own.
-        keep = seen[b - 1] - seen[a] >= self.low.min()
-        a, b, size = a[keep], b[keep], size[keep]
-        doc = np.searchsorted(w.doc, a, side="right") - 1
-        best: dict[tuple[int, int], float] = {}
-        for i, j, s, d in zip(a.tolist(), b.tolist(), size.tolist(), doc.tolist()):
-            fits = np.flatnonzero((self.low <= s) & (s <= self.high))
-            if not len(fits):
-                continue
-            own = at[i : j - 1]
-            k, c = np.unique(own[own >= 0], return_counts=True)
-            dice = 2 * np.minimum(self.count[np.ix_(fits, k)], c).sum(axis=1) / (s + self.size[fits])
-            for t, v in zip(fits.tolist(), dice.tolist()):
-                if v >= self.threshold:
-                    best[d, t] = max(v, best.get((d, t), 0.0))
-        return [(d, t, v) for (d, t), v in sorted(best.items())]
+        return self._windows(self.find(_bigrams(w.hashes)), w.doc)
 
     def _windows(self, at: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, float]]:
         """The best window of each text for each template.
@@ -149,13 +110,13 @@ def _standard() -> Templates:
     return Templates(TEMPLATES)
 
 
-def scan(docs: DataFrame, templates: Templates | None = None, id_col: str = "doc_id", text_col: str = "text", anywhere: bool = False) -> DataFrame:
-    """(doc_id, licence, dice) of all documents, by windows of words if ``anywhere``, else by units."""
+def scan(docs: DataFrame, templates: Templates | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, licence, dice) of all documents."""
     model = docs.sparkSession.sparkContext.broadcast(templates or _standard())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in runtime.batches(it, "text"):
-            found = model.value.matches(texts, anywhere)
+            found = model.value.matches(texts)
             if found:
                 d, t, v = zip(*found)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), pa.array([model.value.names[k] for k in t]), pa.array(v)], ["doc_id", "licence", "dice"])
@@ -172,17 +133,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _quoted = ", ".join("('{}', '{}')".format(k.replace("'", "''"), " ".join(t.split()).replace("'", "''")) for k, t in TEMPLATES.items())
 SQL = f"""
-WITH t AS (SELECT licence, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') AS w FROM (VALUES {_quoted}) AS v(licence, x)),
+WITH t AS (SELECT licence, {tokens.words_sql('x')} AS w FROM (VALUES {_quoted}) AS v(licence, x)),
 tg AS (SELECT licence, len(w) - 1 AS size, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM t WHERE len(w) > 1),
-tc AS (SELECT licence, size, g, count(*) AS n FROM tg GROUP BY ALL),
-u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents
-      UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\\n[^\\p{{L}}\\p{{N}}]*\\n')) FROM documents
-      UNION ALL SELECT doc_id, text FROM documents),
-uw AS (SELECT row_number() OVER () AS unit, doc_id, regexp_extract_all(lower(x), '[\\p{{L}}\\p{{N}}]+') AS w FROM u),
-ug AS (SELECT unit, doc_id, len(w) - 1 AS size, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g
-       FROM uw WHERE len(w) > 1 AND len(w) - 1 <= (SELECT max(size) FROM tg) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9),
-uc AS (SELECT unit, doc_id, size, g, count(*) AS n FROM ug GROUP BY ALL),
-d AS (SELECT doc_id, unit, licence, 2.0e0 * sum(least(uc.n, tc.n)) / (uc.size + tc.size) AS dice
-      FROM uc JOIN tc USING (g) GROUP BY doc_id, unit, licence, uc.size, tc.size)
-SELECT doc_id, licence, round(max(dice), 6) AS dice FROM d WHERE dice >= {THRESHOLD} GROUP BY doc_id, licence
+tc AS (SELECT licence, size, g, count(*) AS n, CAST(greatest(1, ceil(size * ({THRESHOLD} / (2 - {THRESHOLD})) - 1e-9)) AS INTEGER) AS least,
+              CAST(floor(size * ((2 - {THRESHOLD}) / {THRESHOLD}) + 1e-9) AS INTEGER) AS most FROM tg GROUP BY ALL),
+d AS (SELECT row_number() OVER () AS r, doc_id, {tokens.words_sql('text')} AS w FROM documents),
+dg AS (SELECT r, doc_id, unnest(range(1, len(w))) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM d WHERE len(w) > 1),
+-- A template's bigrams in the texts, the how-manieth of its kind each is, and how many follow within reach.
+h AS (SELECT r, doc_id, licence, size, n, least, most, g, pos, row_number() OVER (PARTITION BY r, licence, g ORDER BY pos) AS k,
+             count(*) OVER (PARTITION BY r, licence ORDER BY pos RANGE BETWEEN CURRENT ROW AND most - 1 FOLLOWING) AS ahead
+      FROM dg JOIN tc USING (g)),
+-- Beyond its number in the template a bigram counts only in windows that begin after the one so many before it.
+b AS (SELECT h.*, coalesce(e.pos, 0) AS before FROM h LEFT JOIN h AS e ON e.r = h.r AND e.licence = h.licence AND e.g = h.g AND e.k = h.k - h.n),
+w AS (SELECT a.doc_id, a.r, a.licence, a.size, e.pos - a.pos + 1 AS own,
+             sum(CAST(e.before < a.pos AS INTEGER)) OVER (PARTITION BY a.r, a.licence, a.pos ORDER BY e.pos) AS same
+      FROM (SELECT * FROM h WHERE ahead >= least) AS a JOIN b AS e ON e.r = a.r AND e.licence = a.licence AND e.pos BETWEEN a.pos AND a.pos + a.most - 1)
+SELECT doc_id, licence, round(max(2.0e0 * same / (own + size)), 6) AS dice FROM w
+GROUP BY r, doc_id, licence HAVING max(2.0e0 * same / (own + size)) >= {THRESHOLD}
 """
