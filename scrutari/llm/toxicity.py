@@ -1,18 +1,21 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is scored window by window: each window's terms (words and the starts
-of words, hashed) have a linear weight each and a short vector each, and the
-score is ``w0 + sum(w) + sum of dot products over all pairs of terms``. So two
-terms that are harmless alone can count together. The largest window decides,
-whatever the length of the text; windows of 64 words overlap by half and cover
-all words. The sums of a window are those of its two halves, so overlap costs
-nothing.
+A text is scored window by window. A window's terms are its words and the
+starts of its words, hashed; each has a linear weight, and the stems among them
+(starts of ``PREFIXES[1]`` characters, whole words where they are shorter) have
+a short vector too. The score is ``w0 + sum(w) + sum of dot products over all
+pairs of stems``. So two terms that are harmless alone can count together, and
+two that are usual together can speak against each other. The largest window
+decides, whatever the length of the text; windows of 64 words overlap by half
+and cover all words. The sums of a window are those of its two halves, so
+overlap costs nothing.
 
 The machine is fitted on the driver, on at most ``SAMPLE`` labelled documents
 of each class, by multiple-instance learning: of each document the window that
-now scores highest gets the gradient. Vectors begin with the stems that meet in
-windows of toxic texts more than either alone would tell. Every fifth document
-is held out and sets the threshold.
+now scores highest gets the gradient. With all vectors at zero no gradient
+would ever move them, so they begin with the leading eigenvectors of what pairs
+of stems in one window say beyond what both say alone (``_seeds``). Every fifth
+document is held out and sets the threshold.
 
 Defined results: a null text or one without words scores null and isn't toxic;
 labels that are null or contradict each other are ignored; without labelled
@@ -36,13 +39,16 @@ from . import minhash, runtime, tokens
 #: Labelled documents of each class that the machine is fitted on, at most.
 SAMPLE = 2_500
 BITS = 19
-FACTORS = 4
+FACTORS = 8
 HALF = 32
 PREFIXES = (4, 5, 6, 7)
-EPOCHS = 25
-L2 = np.array([1e-4] + [2e-3] * FACTORS, np.float32)
+EPOCHS = 20
+L2_WEIGHT, L2_VECTOR = 1e-3, 1e-4
+RATE_WEIGHT, RATE_VECTOR = 0.03, 0.02
 RARE = 4
 TERMS = 1 + len(PREFIXES)
+#: Of each word's terms the one that has a vector.
+STEM = 2
 #: The bucket that always weighs nothing.
 NOTHING = 0
 
@@ -80,23 +86,29 @@ def halves(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Machine:
-    table: np.ndarray  # by bucket: w, v (FACTORS), v * v
+    weight: np.ndarray  # by bucket
+    slot: np.ndarray  # by bucket of a stem its row in vector, 0 for one without
+    vector: np.ndarray  # by slot: v (FACTORS)
     bias: float
     threshold: float
 
-    def windows(self, t: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Sums of each half window's terms."""
-        out = np.zeros((len(start), self.table.shape[1]), np.float32)
+    def windows(self, t: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each half window the sum of its weights, and of its vectors and their squared lengths."""
+        size = np.concatenate((self.vector, (self.vector**2).sum(axis=1, keepdims=True)), axis=1)
+        linear, out = np.zeros(len(start), np.float32), np.zeros((len(start), FACTORS + 1), np.float32)
         i = 0
         while i < len(start):
-            j = max(i + 1, int(np.searchsorted(start, start[i] + 16_384)))
+            j = max(i + 1, int(np.searchsorted(start, start[i] + 32_768)))
             lo, hi = start[i], start[j] if j < len(start) else len(t)
-            rows = self.table[t[lo:hi, 0]]
-            for k in range(1, TERMS):
-                rows += self.table[t[lo:hi, k]]
-            out[i:j] = np.add.reduceat(rows, start[i:j] - lo, axis=0)
+            linear[i:j] = np.add.reduceat(self.weight[t[lo:hi]].sum(axis=1), start[i:j] - lo)
+            slot = self.slot[t[lo:hi, STEM]]
+            at = np.flatnonzero(slot)  # few words have a vector
+            if len(at):
+                half = np.searchsorted(start[i:j], at + lo, side="right") - 1
+                first = np.concatenate(([0], np.flatnonzero(np.diff(half)) + 1))
+                out[i + half[first]] = np.add.reduceat(size[slot[at]], first, axis=0)
             i = j
-        return out
+        return linear, out
 
     def best(self, t: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each text's largest window score (nan without words), and that window's first and last word."""
@@ -105,13 +117,15 @@ class Machine:
         score, first, last = np.full(n, np.nan), np.zeros(n, np.int64), np.zeros(n, np.int64)
         if not len(start):
             return score, first, last
-        s = self.windows(t, start)
-        two = s.copy()
-        two[:-1] += s[1:]
         ends = at[1:][np.diff(at) > 0] - 1
-        two[ends] = s[ends]  # the last half of a text has no follower
-        v = two[:, 1 : 1 + FACTORS]
-        z = self.bias + two[:, 0] + 0.5 * ((v * v).sum(axis=1) - two[:, -1])
+        sums = []
+        for s in self.windows(t, start):
+            two = s.copy()
+            two[:-1] += s[1:]
+            two[ends] = s[ends]  # the last half of a text has no follower
+            sums.append(two)
+        linear, v = sums
+        z = self.bias + linear + 0.5 * ((v[:, :FACTORS] ** 2).sum(axis=1) - v[:, FACTORS])
         full = np.flatnonzero(np.diff(at))
         top = np.maximum.reduceat(z, at[:-1][full])
         score[full] = top
@@ -135,14 +149,14 @@ def distinct(texts: list[str]) -> list[int]:
     return out
 
 
-#: Of each word, the term by which meetings are counted: its first five characters, the whole word where it is shorter.
-STEM = 1 + PREFIXES.index(5)
 BINS = 23
 SEEDS = 1_000
+#: Standard errors by which a pair must differ from what its stems say alone.
+SURE = 2.0
 
 
-def _meetings(stem: np.ndarray, doc: np.ndarray, texts: np.ndarray, known: np.ndarray, most: int = 50_000) -> Iterator[np.ndarray]:
-    """Pairs of known stems (the lesser bucket, then the other) that share a window, once for each text; some texts at a time."""
+def _meetings(stem: np.ndarray, doc: np.ndarray, texts: np.ndarray, known: np.ndarray, most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of known stems (the lesser bucket, then the other) that share a window, and the text of each; some texts at a time."""
     bits = np.int64(BITS)
     length = np.diff(doc)[texts]
     at, total = 0, np.cumsum(length)
@@ -155,37 +169,56 @@ def _meetings(stem: np.ndarray, doc: np.ndarray, texts: np.ndarray, known: np.nd
         own, half = np.repeat(np.arange(len(n)), n), place // HALF
         keep = known[x]
         x, own, half = x[keep], own[keep], half[keep]
-        out = []
+        # Halves of different texts never are neighbours.
+        half += 3 * own + np.cumsum(np.concatenate(([0], (np.maximum(n, 1) - 1) // HALF)))[own]
+        pairs, owns = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for k in range(1, 2 * HALF):
-            near = (own[k:] == own[:-k]) & (half[k:] - half[:-k] <= 1)
-            a, b = x[:-k][near], x[k:][near]
-            out.append((own[k:][near] << 2 * bits) | (np.minimum(a, b) << bits) | np.maximum(a, b))
-        yield np.unique(np.concatenate(out)) & np.int64((1 << 2 * BITS) - 1)
+            near = np.flatnonzero(half[k:] - half[:-k] <= 1)
+            a, b = x[near], x[near + k]
+            pairs.append((np.minimum(a, b) << bits) | np.maximum(a, b))
+            owns.append(own[near])
+        yield np.concatenate(pairs), np.concatenate(owns)
         at = stop
 
 
 def _seeds(stem: np.ndarray, doc: np.ndarray, y: np.ndarray, train: np.ndarray, known: np.ndarray, odds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and factors to begin with: leading eigenvectors of the log odds of stems' meetings, less what either says alone."""
+    """Buckets that get vectors, and these to begin with.
+
+    A pair's interaction is the log odds of toxic texts in which it shares a
+    window, less the log odds of either stem: for or against. Those larger than
+    chance make a symmetric matrix, of which sums of dot products can take up
+    the part with positive eigenvalues.
+    """
 
     def bins(pair: np.ndarray) -> np.ndarray:
         return (tokens.mix(pair.astype(np.uint64)) >> np.uint64(64 - BINS)).astype(np.int64)
 
     n, seen = [(train & ~y).sum(), (train & y).sum()], np.zeros((2, 1 << BINS), np.int32)
     for c in (0, 1):
-        for pair in _meetings(stem, doc, np.flatnonzero(train & (y == bool(c))), known):
-            np.add.at(seen[c], bins(pair), 1)
-    # Less by a standard error, as most pairs are seen seldom.
-    often = np.flatnonzero(seen[1] >= RARE)
-    s0, s1 = seen[:, often]
-    gain = np.full(1 << BINS, -np.inf, np.float32)
-    gain[often] = np.log((s1 + 1) / (n[1] + 2)) - np.log((s0 + 1) / (n[0] + 2)) - np.sqrt(1 / (s1 + 1) + 1 / (s0 + 1))
-    telling = gain > np.log(3)
-    pairs = [pair[telling[bins(pair)]] for pair in _meetings(stem, doc, np.flatnonzero(train & y), known)]
-    pair = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        for pair, own in _meetings(stem, doc, np.flatnonzero(train & (y == bool(c))), known):
+            key = np.sort(own << np.int64(BINS) | bins(pair))  # once for each text
+            seen[c] += np.bincount(key[np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]] & ((1 << BINS) - 1), minlength=1 << BINS)
+    s0, s1 = seen
+    often = s0 + s1 >= RARE
+    gain = np.zeros(1 << BINS, np.float32)
+    error = np.full(1 << BINS, np.inf, np.float32)
+    gain[often] = np.log((s1[often] + 0.5) / (n[1] + 1)) - np.log((s0[often] + 0.5) / (n[0] + 1))
+    error[often] = np.sqrt(1 / (s1[often] + 0.5) + 1 / (s0[often] + 0.5))
+    telling = np.abs(gain) > SURE * error
+    found = [np.empty(0, np.int64)]
+    for pair, _ in _meetings(stem, doc, np.flatnonzero(train), known):
+        found.append(np.unique(pair[telling[bins(pair)]]))
+        if len(found) > 64:
+            found = [np.unique(np.concatenate(found))]
+    pair = np.unique(np.concatenate(found))
     a, b, k = pair >> BITS, pair & ((1 << BITS) - 1), bins(pair)
-    weight = np.clip(gain[k] - np.maximum(np.maximum(odds[a], odds[b]), 0), 0, 4) * np.sqrt(seen[1, k] / n[1])
-    a, b, weight = a[weight > 0], b[weight > 0], weight[weight > 0]
-    total = np.bincount(a, weight, 1 << BITS) + np.bincount(b, weight, 1 << BITS)
+    beyond = gain[k] - np.where(a == b, odds[a], odds[a] + odds[b])
+    beyond = np.sign(beyond) * np.clip(np.abs(beyond) - SURE * error[k], 0, 4)
+    # Weighted by how many texts the pair decides.
+    weight = beyond * np.sqrt(np.maximum(seen[0, k] / n[0], seen[1, k] / n[1]))
+    some = weight != 0
+    a, b, weight = a[some], b[some], weight[some]
+    total = np.bincount(a, np.abs(weight), 1 << BITS) + np.bincount(b, np.abs(weight), 1 << BITS)
     of = np.sort(np.argsort(-total, kind="stable")[: min(SEEDS, np.count_nonzero(total))])
     both = np.isin(a, of) & np.isin(b, of)
     a, b, weight = np.searchsorted(of, a[both]), np.searchsorted(of, b[both]), weight[both]
@@ -200,6 +233,23 @@ def _seeds(stem: np.ndarray, doc: np.ndarray, y: np.ndarray, train: np.ndarray,
     return of, v
 
 
+def gradient(m: Machine, t: np.ndarray, first: np.ndarray, last: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sum of ``g`` times the scores of the windows from ``first`` to ``last``: the buckets met, and the gradients of their weights and of all vectors."""
+    length = last - first
+    begin = np.concatenate(([0], np.cumsum(length)[:-1]))
+    pos = np.repeat(first - begin, length) + np.arange(length.sum())
+    own = np.repeat(np.arange(len(first)), length)
+    buckets, back = np.unique(t[pos].ravel(), return_inverse=True)
+    of_weights = np.bincount(back, np.repeat(g[own], TERMS), len(buckets))
+    slot = m.slot[t[pos, STEM]]
+    at = np.flatnonzero(slot)
+    own, slot = own[at], slot[at]
+    total = np.stack([np.bincount(own, m.vector[slot, f], len(first)) for f in range(FACTORS)], axis=1)
+    around = (total[own] - m.vector[slot]) * g[own][:, None]
+    of_vectors = np.stack([np.bincount(slot, around[:, f], len(m.vector)) for f in range(FACTORS)], axis=1)
+    return buckets, of_weights, of_vectors
+
+
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine | None:
     """A machine from labelled texts; none without texts of both classes."""
     y = np.asarray(toxic, bool)
@@ -222,7 +272,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine | None:
         return None
     size = 1 << BITS
     own = np.repeat(np.arange(len(y), dtype=np.int64), np.diff(doc))
-    # Start of the linear weights: smoothed log odds of how many documents have the term.
+    # Smoothed log odds of how many documents have the term.
     seen = np.zeros((2, size))
     for k in range(TERMS):
         pair = own * np.int64(size) + t[:, k]
@@ -231,58 +281,41 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine | None:
         d, b = pair // size, pair % size
         for c in (0, 1):
             seen[c] += np.bincount(b[train[d] & (y[d] == bool(c))], minlength=size)
+    del own, pair, d, b
     n0, n1 = (train & ~y).sum(), (train & y).sum()
     smooth = 3.0
     odds = np.log((seen[1] + smooth) / (n1 + 2 * smooth)) - np.log((seen[0] + smooth) / (n0 + 2 * smooth))
     prior = np.log(smooth / (n1 + 2 * smooth)) - np.log(smooth / (n0 + 2 * smooth))
-    table = np.zeros((size, FACTORS + 2), np.float32)
-    del own, pair, d, b
-    # Only what occurs more among toxic texts by more than chance begins with a weight.
-    strong = (seen[1] / n1 > 3 * seen[0] / n0) & (seen[1] >= 2)
-    table[:, 0] = np.where(strong, 0.3 * np.clip(odds - min(prior, 0), 0, 4), 0)
     # Terms of fewer than RARE documents say nothing; they stay at zero.
     known = seen.sum(axis=0) >= RARE
     known[NOTHING] = False
-    table[:, 0] *= known
-    table[:, 1 : 1 + FACTORS] = rng.normal(0, 0.003, (size, FACTORS)) * known[:, None]
-    # Where terms are harmless alone, a window of a toxic text is found only by what meets in it.
+    # Only what occurs more among toxic texts by more than chance begins with a weight.
+    strong = known & (seen[1] / n1 > 3 * seen[0] / n0) & (seen[1] >= 2)
+    weight = np.where(strong, 0.3 * np.clip(odds - min(prior, 0), 0, 4), 0).astype(np.float32)
     buckets, v = _seeds(t[:, STEM], doc, y, train, known, odds)
-    table[buckets, 1 : 1 + FACTORS] += v
-    m = Machine(table, -2.0, 0.0)
-    squares = np.full((size, 1 + FACTORS), 1e-3, np.float32)
-    square0 = 1e-3
-    weight = np.where(y, 0.5 / n1, 0.5 / n0) * train.sum()
+    slot = np.zeros(size, np.int16)
+    slot[buckets] = np.arange(1, len(buckets) + 1)
+    vector = np.concatenate((np.zeros((1, FACTORS), np.float32), v))
+    m = Machine(weight, slot, vector, -2.0, 0.0)
+    squares, squares_v, square0 = np.full(size, 1e-6), np.full(vector.shape, 1e-6), 1e-6
+    share = np.where(y, 0.5 / n1, 0.5 / n0)
     for _ in range(EPOCHS):
-        table[:, -1] = (table[:, 1 : 1 + FACTORS] ** 2).sum(axis=1)
         score, first, last = m.best(t, doc)
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        g = np.where(train, (p - y) * weight, 0.0)
-        use = np.flatnonzero(train & (np.abs(g) > 1e-3))
+        g = np.where(train, (p - y) * share, 0.0)
+        use = np.flatnonzero(train & (np.abs(g) > 1e-3 * share))
         if not len(use):
             break
-        length = last[use] - first[use]
-        pos = np.repeat(first[use] - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
-        ids = t[pos]
-        v = table[ids.ravel(), 1 : 1 + FACTORS].reshape(len(pos), TERMS, FACTORS)
-        total = np.add.reduceat(v.sum(axis=1), np.concatenate(([0], np.cumsum(length)[:-1])), axis=0)
-        gp = np.repeat(g[use], length)
-        flat = ids.ravel()
-        buckets, back = np.unique(flat, return_inverse=True)
-        grad = np.empty((len(buckets), 1 + FACTORS), np.float32)
-        grad[:, 0] = np.bincount(back, np.repeat(gp, TERMS), len(buckets))
-        around = np.repeat(total, length, axis=0)[:, None, :] - v
-        for f in range(FACTORS):
-            grad[:, 1 + f] = np.bincount(back, (around[:, :, f] * gp[:, None]).ravel(), len(buckets))
-        grad /= train.sum()
-        grad += L2 * table[buckets, : 1 + FACTORS]
-        grad *= known[buckets, None]
-        squares[buckets] += grad**2
-        step = np.array([0.2] + [0.01] * FACTORS, np.float32)
-        table[buckets, : 1 + FACTORS] -= step * grad / np.sqrt(squares[buckets])
-        g0 = g.sum() / train.sum()
+        met, gw, gv = gradient(m, t, first[use], last[use], g[use])
+        gw = (gw + L2_WEIGHT * weight[met]) * known[met]
+        squares[met] += gw**2
+        weight[met] -= RATE_WEIGHT * gw / np.sqrt(squares[met])
+        gv[1:] += L2_VECTOR * vector[1:]
+        squares_v += gv**2
+        vector[1:] -= RATE_VECTOR * (gv / np.sqrt(squares_v))[1:].astype(np.float32)
+        g0 = g.sum()
         square0 += g0 * g0
-        m.bias -= 0.2 * g0 / np.sqrt(square0)
-    table[:, -1] = (table[:, 1 : 1 + FACTORS] ** 2).sum(axis=1)
+        m.bias -= RATE_WEIGHT * g0 / np.sqrt(square0)
     score, _, _ = m.best(t, doc)
     judge = held & has if (held & y).sum() >= 5 else has
     m.threshold = _cut(score[judge], y[judge])
