@@ -10,7 +10,9 @@ words and languages side by side.
 The probabilities are those of expectation maximisation: each round runs the
 forward and a backward algorithm over the words of a labelled sample of at
 most ``SAMPLE`` rows of each language and counts the pieces expected in all
-segmentations.
+segmentations. Words of any length count, as in languages written without
+spaces a paragraph is one: those of more than ``SHORT`` characters go through
+the same algorithms in logarithms.
 
 Texts are compatibility-normalised (NFKC); runs of white space are one space.
 A character that no piece covers counts as one piece of probability
@@ -20,7 +22,8 @@ Defined results: a null text or one of white space only has no language (null,
 null margin); languages that tie go to the first in alphabetical order;
 ``margin`` is the lead over the second best language by character, null where
 only one language is known; labels that are null are ignored; without labelled
-rows no text has a language; repeated rows are scored alike; an empty table
+rows no text has a language; more than ``LANGUAGES`` labels are an error;
+repeated rows are scored alike; an empty table
 gives an empty result. Other columns aren't read.
 """
 
@@ -43,6 +46,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled rows of each language that the probabilities are estimated from, at most.
 SAMPLE = 400
 ROUNDS = 4
+#: Labels at most, so that what is drawn is bounded.
+LANGUAGES = 2_000
 #: The drawn rows' keys are broadcast up to this many (16 bytes and a label each).
 BROADCAST_KEYS = 1_000_000
 #: Probability of a character that no piece covers, and what all pieces are smoothed with.
@@ -69,8 +74,6 @@ def load(path: str = VOCABULARY) -> list[str]:
 class Lattice:
     """All pieces at all places of many words, by a trie whose edges are in one hash table."""
 
-    BITS = 20
-
     def __init__(self, pieces: list[str]):
         self.unknown = len(pieces)
         nodes: dict[tuple[int, int], int] = {}
@@ -84,19 +87,20 @@ class Lattice:
                 at = to
             self.piece[at] = i
         self.piece = np.array(self.piece, np.int32)
-        self.key = np.full(1 << self.BITS, -1, np.int64)
-        self.to = np.zeros(1 << self.BITS, np.int32)
+        self.bits = max(20, (3 * len(nodes)).bit_length())  # never more than a third full
+        self.key = np.full(1 << self.bits, -1, np.int64)
+        self.to = np.zeros(1 << self.bits, np.int32)
         self.reach = 1
         for (at, c), to in nodes.items():
             k = at << 21 | c
             slot, reach = int(self._slot(np.array([k]))[0]), 1
             while self.key[slot] >= 0:
-                slot, reach = (slot + 1) & ((1 << self.BITS) - 1), reach + 1
+                slot, reach = (slot + 1) & ((1 << self.bits) - 1), reach + 1
             self.key[slot], self.to[slot] = k, to
             self.reach = max(self.reach, reach)
 
     def _slot(self, k: np.ndarray) -> np.ndarray:
-        return ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return ((k.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The node that each node's edge for a character leads to, 0 where there is none."""
@@ -108,7 +112,7 @@ class Lattice:
             more = np.flatnonzero((found != k) & (found >= 0))
             if not len(more):
                 break
-            slot[more] = (slot[more] + 1) & ((1 << self.BITS) - 1)
+            slot[more] = (slot[more] + 1) & ((1 << self.bits) - 1)
             found[more] = self.key[slot[more]]
             out[more] = np.where(found[more] == k[more], self.to[slot[more]], 0)
         return out
@@ -181,28 +185,47 @@ def forward(lattice: Lattice, words: list[str], logp: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Counts:
+    """Expected counts of pieces over all segmentations of some counted words; by logarithms where they are long."""
+
+    def __init__(self, lattice: Lattice, words: list[str], weight: np.ndarray, logs: bool):
+        self.logs, self.weight = logs, weight
+        self.start, self.end, self.piece, self.first = lattice.edges(words)
+        self.last = self.first + np.fromiter(map(len, words), np.int64, len(words))
+        self.word = np.searchsorted(self.first, self.start, side="right") - 1
+        self.ahead = list(_steps(self.end, self.word, self.first))
+        self.back = list(_steps(self.start, self.word, self.first))[::-1]
+
+    def __call__(self, logp: np.ndarray) -> np.ndarray:
+        start, end = self.start, self.end
+        p = logp[self.piece] if self.logs else np.exp(logp[self.piece] + _SCALE * (end - start))
+        a, b = (np.full(self.last[-1] + 1, -np.inf if self.logs else 0.0) for _ in range(2))
+        a[self.first] = b[self.last] = 0.0 if self.logs else 1.0
+        for e, begin in self.ahead:
+            a[end[e[begin]]] = np.logaddexp.reduceat(a[start[e]] + p[e], begin) if self.logs else np.add.reduceat(a[start[e]] * p[e], begin)
+        for e, begin in self.back:
+            b[start[e[begin]]] = np.logaddexp.reduceat(b[end[e]] + p[e], begin) if self.logs else np.add.reduceat(b[end[e]] * p[e], begin)
+        whole = a[self.last][self.word]
+        share = np.exp(a[start] + p + b[end] - whole) if self.logs else a[start] * p * b[end] / whole
+        return np.bincount(self.piece, share * self.weight[self.word], len(logp))[:-1]
+
+
 def estimate(lattice: Lattice, counts: dict[str, int], rounds: int = ROUNDS) -> np.ndarray:
-    """Log probability of each piece, by expectation maximisation over counted words of up to ``SHORT`` characters."""
+    """Log probability of each piece, by expectation maximisation over counted words."""
     pieces = lattice.unknown
     logp = np.full(pieces + 1, -np.log(pieces))
     logp[-1] = np.log(UNKNOWN)
-    words = sorted(w for w in counts if len(w) <= SHORT)
-    if not words:
-        return logp
-    weight = np.array([counts[w] for w in words], float)
-    start, end, piece, first = lattice.edges(words)
-    last = first + np.fromiter(map(len, words), np.int64, len(words))
-    word = np.searchsorted(first, start, side="right") - 1
-    ahead, back = list(_steps(end, word, first)), list(_steps(start, word, first))[::-1]
-    for _ in range(rounds):
-        p = np.exp(logp[piece] + _SCALE * (end - start))
-        a, b = np.zeros(last[-1] + 1), np.zeros(last[-1] + 1)
-        a[first] = b[last] = 1.0
-        for e, begin in ahead:
-            a[end[e[begin]]] = np.add.reduceat(a[start[e]] * p[e], begin)
-        for e, begin in back:
-            b[start[e[begin]]] = np.add.reduceat(b[end[e]] * p[e], begin)
-        n = np.bincount(piece, a[start] * p * b[end] / a[last][word] * weight[word], pieces + 1)[:pieces]
+    parts, size = [], {}
+    for w in sorted(counts, key=lambda w: (len(w), w)):
+        logs = len(w) > SHORT
+        if logs not in size or (logs and size[logs] > TOGETHER):
+            parts.append((logs, []))
+            size[logs] = 0
+        parts[-1][1].append(w)
+        size[logs] += len(w)
+    known = [_Counts(lattice, ws, np.array([counts[w] for w in ws], float), logs) for logs, ws in parts]
+    for _ in range(rounds if known else 0):
+        n = sum(c(logp) for c in known)
         logp[:pieces] = np.log((n + SMOOTH) / (n.sum() + SMOOTH * pieces))
     return logp
 
@@ -252,7 +275,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     read = read.where("lang is not null and text is not null").withColumn("key", F.xxhash64(F.lit(5), "id", "text"))
     # The drawing moves hashes only, of each task at most ``sample`` for a language; then the texts are fetched.
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    keys = read.select("lang", "key").withColumn("nth", nth).where(F.col("nth") <= sample).drop("nth").distinct().collect()
+    keys = read.select("lang", "key").withColumn("nth", nth).where(F.col("nth") <= sample).drop("nth").distinct().limit(LANGUAGES * sample + 1).collect()
+    if len(keys) > LANGUAGES * sample:
+        raise ValueError(f"the column {lang_col!r} has more than {LANGUAGES} languages")
     drawn = docs.sparkSession.createDataFrame(keys, "lang string, key long")
     rows = read.join(F.broadcast(drawn) if len(keys) <= BROADCAST_KEYS else drawn, ["lang", "key"]).dropDuplicates(["lang", "key"]).select("lang", "text").toPandas()
     rows = rows.sort_values(["lang", "text"])
