@@ -21,7 +21,9 @@ learns to do without each.
 Defined results: a null or empty transcript, or one of empty lines, has no
 turns and an empty rendering; a marker without text makes no turn; ``<|`` in a
 text becomes ``< |``, so that no text can forge a turn; a transcript of any
-length is read whole; repeated rows are treated alike; an empty table gives an
+length is read whole, with any number of roles and speakers, and markers and
+lines of any length; how long a line is or the how-manieth its speaker, where
+that never occurred in labelled transcripts, says nothing about its role; repeated rows are treated alike; an empty table gives an
 empty result. In a table of turns a null text is an empty turn, a null role
 gets no marker, rows of null conversation are one conversation of null id,
 and turns that tie in number come in the order of role and text. Other columns
@@ -49,6 +51,8 @@ UNKNOWN = "?"
 _LETTERS = "abc"
 #: Lines of transcripts that run together.
 TOGETHER = 400_000
+#: Transitions of transcripts that run together.
+CELLS = 8_000_000
 
 #: How the three usual roles are marked, by style: before and after the name, then the names.
 STYLES = (
@@ -63,7 +67,14 @@ STYLES = (
 )
 ROLES = ("user", "assistant", "system")
 
-_MARK = regex.compile(r"^\s*(?:(?:\*\*|__|#{1,6}\s*)\s*(\p{L}[\p{L}\p{N}_ ]{0,23}?)\s*(?::\s*(?:\*\*|__)?|(?:\*\*|__)\s*:?|$)|<\|?\s*(\p{L}[\p{L}_]{0,23})\s*\|?>|\[\s*(\p{L}[\p{L}_ ]{0,23})\s*\]|(\p{L}[\p{L}\p{N}_]{0,23}(?: \p{L}[\p{L}_]{0,23})?)\s*:(?=\s|$))\s*")
+# Of any length, and read in one pass: no part gives back what it has taken.
+_NAME = r"\p{L}[\p{L}\p{N}]*+(?:_++[\p{L}\p{N}]++)*+(?:[ ]++[\p{L}\p{N}]++(?:_++[\p{L}\p{N}]++)*+)*+"
+_MARK = regex.compile(
+    rf"^\s*+(?:(?:\*\*|__|#{{1,6}}\s*+)\s*+({_NAME})\s*+(?::\s*+(?:\*\*|__)?|(?:\*\*|__)\s*+:?|$)"
+    r"|<\|?\s*+(\p{L}[\p{L}_]*+)\s*+\|?>"
+    r"|\[\s*+(\p{L}[\p{L}_]*+(?:[ ]++[\p{L}_]++)*+)\s*+\]"
+    r"|(\p{L}[\p{L}\p{N}_]*+(?:[ ]\p{L}[\p{L}_]*+)?+)\s*+:(?=\s|$))\s*+"
+)
 
 
 def marked(line: str) -> tuple[str | None, str]:
@@ -90,12 +101,17 @@ def features(rows: list[tuple[str, bool]]) -> tuple[list[tuple], list[str | None
     for i, (s, blank) in enumerate(rows):
         name, rest = marked(s)
         markers.append(name)
-        speaker = 0 if name is None else min(order.setdefault(name, len(order) + 1), 5)
-        length = min(len(rest).bit_length(), 11)
-        out.append((name, speaker, 2 * bool(i) + blank, length, rest.rstrip().endswith("?")))
+        speaker = 0 if name is None else order.setdefault(name, len(order) + 1)
+        out.append((name, speaker, 2 * bool(i) + blank, len(rest).bit_length(), rest.rstrip().endswith("?")))
     return out, markers
 
 
+def emission(table: dict, value: object) -> np.ndarray:
+    """Log probabilities of a feature's value by state; a marker that isn't known counts as such, another value that was never seen says nothing."""
+    own = table.get(value)
+    return own if own is not None else table.get(UNKNOWN, np.zeros_like(table[...]))
+
+
 @dataclass
 class Model:
     roles: list[str]  # state 2 r begins a turn of role r, 2 r + 1 goes on with it
@@ -110,7 +126,8 @@ class Model:
         k = 0
         while k < len(order):
             part, n = [], 0
-            while k < len(order) and (not part or n < TOGETHER):
+            # What a step needs is the square of the number of states, for each transcript.
+            while k < len(order) and (not part or (n < TOGETHER and len(part) * len(self.start) ** 2 < CELLS)):
                 part.append(order[k])
                 n += len(seen[order[k]])
                 k += 1
@@ -123,11 +140,10 @@ class Model:
         for f, table in enumerate(self.emit):
             number: dict = {}
             ids = [number.setdefault(x[f], len(number)) for x in flat]
-            other = table.get(UNKNOWN, table[...])
-            em += np.stack([table.get(v, other) for v in number])[ids]
+            em += np.stack([emission(table, v) for v in number])[ids]
         size = np.array([len(r) for r in seen])
         first = np.cumsum(size) - size
-        back = np.zeros(em.shape, np.int8)
+        back = np.zeros(em.shape, np.int32)
         now = self.start + em[first]
         best = [0] * len(seen)
         alive = len(seen)
@@ -168,8 +184,9 @@ class Model:
 
 
 def render(turns: list[tuple[str, str]]) -> str:
-    """The canonical form."""
-    return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
+    """The canonical form; a role is one line that can't end its mark."""
+    plain = lambda role: " ".join(role.replace("<|", "< |").replace("|>", "| >").split())
+    return "".join(f"<|{plain(role)}|>\n{text}\n<|end|>\n" for role, text in turns)
 
 
 def write(

@@ -44,7 +44,7 @@ def test_viterbi_is_the_best_path(model):
     n = len(model.start)
 
     def score(path, row):
-        e = sum(table.get(x[f], table.get(t.UNKNOWN, table[...]))[s] for s, x in zip(path, row) for f, table in enumerate(model.emit))
+        e = sum(t.emission(table, x[f])[s] for s, x in zip(path, row) for f, table in enumerate(model.emit))
         return model.start[path[0]] + sum(model.trans[a, b] for a, b in zip(path, path[1:])) + e
 
     import itertools
@@ -79,6 +79,73 @@ def test_tables_of_turns(spark):
     assert t.parse(t.assemble(df.where("false")), t.train(df.where("false"))).count() == 0
 
 
+def test_many_roles_speakers_and_long_markers():
+    names = [f"role{k}" for k in range(83)]
+    r = np.random.default_rng(1)
+    talk = lambda own: [(own[i % len(own)], f"says {w} here" + "?" * (i % 2)) for i, w in enumerate(r.choice(["one", "two", "three"], 12))]
+    m = t.fit([talk(names[k : k + 3]) for k in list(range(80)) * 3])
+    for k in (0, 40, 70):
+        gold = talk(names[k : k + 7])
+        assert [role for role, _ in m.turns(["\n\n".join(f"{who}: {text}" for who, text in gold)])[0]] == [role for role, _ in gold]
+    long = "Person" * 30
+    assert t.marked(f"{long}: hello") == (long.lower(), "hello") and t.marked(f"### {long} {long}:")[0] == f"{long} {long}".lower()
+    assert t.marked("__user_name__: x") == ("user_name", "x") and t.marked("<|a_b|> c") == ("a_b", "c") and t.marked("[A  B]c") == ("a  b", "c")
+    seen, _ = t.features([(f"s{chr(97 + k)}: {'x' * (1 << k)}", False) for k in range(20)])
+    assert [x[1] for x in seen] == list(range(1, 21)) and [x[3] for x in seen] == list(range(1, 21))
+
+
+def test_markers_are_read_in_one_pass():
+    import time
+
+    start = time.time()
+    for s in ("### a" + " " * 300_000 + "!", "**" + "a " * 200_000 + "!", "a" * 300_000, "[" + "a " * 200_000, "__" + "a_" * 200_000 + "!", " " * 300_000 + "x"):
+        assert t.marked(s) == (None, s)
+    assert time.time() - start < 10
+
+
+def test_a_role_can_not_forge_a_turn():
+    assert t.render([("a|>\nx\n<|user", "b")]) == "<|a| > x < |user|>\nb\n<|end|>\n"
+
+
+def plain(model, text):
+    """Turns by a Viterbi algorithm line by line."""
+    rows = t.lines(text)
+    if not rows:
+        return []
+    seen, markers = t.features(rows)
+    n = len(model.start)
+    score, ways = None, []
+    for x in seen:
+        e = sum(t.emission(table, x[f]) for f, table in enumerate(model.emit))
+        if score is None:
+            score = [model.start[s] + e[s] for s in range(n)]
+            continue
+        before = [max(range(n), key=lambda p: (score[p] + model.trans[p, s], -p)) for s in range(n)]
+        ways.append(before)
+        score = [score[before[s]] + model.trans[before[s], s] + e[s] for s in range(n)]
+    path = [max(range(n), key=lambda s: (score[s], -s))]
+    for before in reversed(ways):
+        path.append(before[path[-1]])
+    out = []
+    for (s, blank), marker, state in zip(rows, markers, reversed(path)):
+        if state % 2 == 0 or not out:
+            out.append([model.roles[state // 2], s if marker is None else t.marked(s)[1]])
+        else:
+            out[-1][1] += "\n" + "\n" * blank + s
+    return [(role, s.strip().replace("<|", "< |")) for role, s in out if s.strip()]
+
+
+def test_query_like_plain_viterbi(spark, folder):
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    m = t.train(turns)
+    texts = {r["conv_id"]: r["transcript"] for r in t.assemble(turns).collect()}
+    rows = t.query(spark, folder).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = plain(m, texts[r["conv_id"]])
+        assert (r["turns"], r["roles"], r["chat"]) == (len(want), [role for role, _ in want], t.render(want))
+
+
 def test_query(spark, folder):
     turns = spark.read.parquet(f"{folder}/conversations.parquet").orderBy("conv_id", "turn").collect()
     gold = {}
