@@ -15,7 +15,9 @@ Defined results: a row of null source belongs to a source of its own, null;
 a null id is hashed as an empty one; rows of equal id and source take
 successive ranks, in no order of their own; shards differ in size by one row
 at most, and there are fewer, not empty ones, where there are fewer rows; an
-empty table gives an empty result. Further columns are carried on request.
+empty table gives an empty result. Further columns are carried on request
+and keep their values; to carry a column twice, or one that is named like a
+column of the result, is an error.
 """
 
 from __future__ import annotations
@@ -43,7 +45,12 @@ def assign(
     n = docs.count()
     parts = max(1, -(-n // bucket))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *(F.col(c) for c in carry or []), key.alias("__key"))
+    # What is carried has names of its own meanwhile, as it may have any.
+    held = {f"__carried_{i}": c for i, c in enumerate(carry or [])}
+    taken = [c.lower() for c in ("doc_id", "source", "position", "shard", *held.values())]
+    if len(set(taken)) < len(taken):
+        raise ValueError("carried columns must be distinct, and not be named doc_id, source, position or shard")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), *(docs[f"`{c}`"].alias(k) for k, c in held.items()), key.alias("__key"))
     head = F.conv(F.substring("__key", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("__b", F.floor(head * parts / float(1 << 32)).cast("long"))
     before = _offsets(rows, ["source"], "__b").withColumnsRenamed({"source": "__s", "__b": "__c"})
@@ -56,10 +63,10 @@ def assign(
     before = _offsets(rows, [], "__b").withColumnRenamed("__b", "__c")
     rows = rows.join(before, rows["__b"] == before["__c"])
     place = F.row_number().over(Window.partitionBy("__b").orderBy("__f", F.col("source").asc_nulls_first(), "__rank"))
-    position = F.col("__before") + place - 1
-    return rows.withColumn("position", position.cast("long")).select(
-        "doc_id", "source", *(carry or []), "position", F.expr(f"position * {min(shards, max(n, 1))} div {max(n, 1)}").cast("long").alias("shard")
-    )
+    position = (F.col("__before") + place - 1).cast("long")
+    shard = F.expr(f"position * {min(shards, max(n, 1))} div {max(n, 1)}").cast("long")
+    out = rows.withColumn("position", position).withColumn("shard", shard)
+    return out.select("doc_id", "source", *(F.col(k).alias(c) for k, c in held.items()), "position", "shard")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

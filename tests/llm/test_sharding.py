@@ -41,3 +41,16 @@ def test_edge_cases(spark, awkward, nothing):
     assert {r["shard"] for r in sharding.assign(table(spark, [(1, "a"), (2, "b")]), shards=64).collect()} == {0, 1}
     with pytest.raises(ValueError):
         sharding.assign(awkward, shards=0)
+
+
+def test_carried_columns_keep_their_values(spark):
+    df = spark.range(0, 50).selectExpr("id AS doc_id", "'s' AS source", "'keep' AS __b", "'f' AS __f", "concat('n', id) AS `__rank`", "id AS `a.b`", "'k' AS __key", "'t' AS __total", "7 AS __carried_1")
+    carry = [c for c in df.columns if c not in ("doc_id", "source")]
+    out = sharding.assign(df, shards=5, bucket=7, carry=carry)
+    assert out.columns == ["doc_id", "source", *carry, "position", "shard"]
+    rows = out.collect()
+    assert sorted(r["position"] for r in rows) == list(range(50))
+    assert all(tuple(r)[2:9] == ("keep", "f", f"n{r['doc_id']}", r["doc_id"], "k", "t", 7) for r in rows)
+    for bad in (["position"], ["Shard"], ["doc_id"], ["__b", "__b"]):
+        with pytest.raises(ValueError):
+            sharding.assign(df.withColumns({"position": sharding.F.lit(1), "Shard": sharding.F.lit(1)}), carry=bad)
