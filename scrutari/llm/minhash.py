@@ -5,12 +5,15 @@ candidates, agreement of signatures verifies them, and alternating large-star
 and small-star joins verified pairs into groups.
 
 What moves between executors is small: signatures once (to collapse equal
-ones), 16 bytes per band, and again the signatures of only those documents
-that share a band with another one. Inside a bucket every pair is decided, but
-only a spanning forest of the verified pairs is emitted, so that a group of n
-copies costs n - 1 edges rather than n * (n - 1) / 2. There is no cap on the
-size of a bucket: one of more than ``BLOCK`` signatures is cut into blocks and
-every pair of blocks is compared.
+ones, which 128 bits of a hash tell apart), 16 bytes per band and again for
+bands that several have, and again the signatures of only those documents that
+share a band with another one. Bands are counted by partial sums and joined, so
+that a band that a third of all texts have is spread over tasks. Inside a
+bucket every pair is decided, but only a spanning forest of the verified pairs
+is emitted, so that a group of n copies costs n - 1 edges rather than
+n * (n - 1) / 2. There is no cap on the size of a bucket: one of more than
+``BLOCK`` signatures is cut into blocks and every pair of blocks is compared,
+so what moves for a bucket of n different signatures is n * n / ``BLOCK`` of them.
 
 Defined results: a text without words (null, empty, only punctuation) is in a
 group of its own and always stays; a text of one or two words has one shingle,
@@ -98,10 +101,10 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = signatures(texts)
         empty = (sig == 0xFFFFFFFF).all(axis=1)
         raw = [s.tobytes() for s in sig]
-        nid = np.array([int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little", signed=True) for s in raw], np.int64)
+        name = np.frombuffer(b"".join(hashlib.blake2b(s, digest_size=16).digest() for s in raw), np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(nid, mask=empty), pa.array([None if e else s for e, s in zip(empty, raw)], pa.binary())],
-            ["doc_id", "text_hash", "nid", "sig"],
+            [batch.column(0), batch.column(2), *(pa.array(name[:, k], mask=empty) for k in (0, 1)), pa.array([None if e else s for e, s in zip(empty, raw)], pa.binary())],
+            ["doc_id", "text_hash", "sid", "more", "sig"],
         )
 
 
@@ -174,56 +177,53 @@ def components(edges: DataFrame) -> DataFrame:
 BROADCAST_KEYS = 2_000_000
 
 
+def _buckets(classes: DataFrame) -> DataFrame:
+    """(nid, bucket, size): the buckets of classes that share a band with another one; bands that hold the same classes are one bucket."""
+    bands = classes.select(
+        "nid",
+        F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))).alias("band"),
+    )
+    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("nid")).alias("mark")).where("size > 1")
+    return bands.join(shared, "band").select(F.xxhash64("size", "mark").alias("bucket"), "nid", "size").distinct()
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, nid, group_id, keep) for each row.
+    """(doc_id, text_hash, sid, group_id, keep) for each row.
 
-    ``group_id`` is the smallest id of the row's near-duplicate group; ``nid``
-    names the signature and is null for a text without words. Where an id
-    occurs with several texts, ``text_hash`` tells which of them stays.
+    ``group_id`` is the smallest id of the row's near-duplicate group; ``sid``
+    is half of the signature's name and null for a text without words. Where an
+    id occurs with several texts, ``text_hash`` tells which of them stays.
     """
     kind = dict(docs.dtypes)[id_col]
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     read = read.withColumn("text_hash", F.xxhash64("text"))
-    signed, _ = runtime.written(runtime.mapped(read, _sign, f"doc_id {kind}, text_hash long, nid long, sig binary"), "signatures")
+    signed, _ = runtime.written(runtime.mapped(read, _sign, f"doc_id {kind}, text_hash long, sid long, more long, sig binary"), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
-    classes, _ = runtime.written(
-        signed.where("nid is not null").groupBy("nid").agg(first.alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes"
-    )
-    bands = classes.select(
-        "nid",
-        F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))).alias("band"),
-    )
-    whole = Window.partitionBy("band")
-    shared = (
-        bands.withColumn("size", F.count("*").over(whole))
-        .withColumn("mark", F.bit_xor(F.xxhash64("nid")).over(whole))
-        .where("size > 1")
-        # Bands that hold the same signatures are one bucket.
-        .select(F.xxhash64("size", "mark").alias("bucket"), "nid", "size")
-        .distinct()
-    )
+    classes = signed.where("sid is not null").groupBy("sid", "more").agg(first.alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    # Classes are numbered once, when they are written, so that no two have one number.
+    classes, _ = runtime.written(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")
     zero = F.lit(0).cast("long")
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     own = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("nid"), blocks)).otherwise(zero)
     others = F.when(F.col("size") > BLOCK, F.sequence(zero, blocks - 1)).otherwise(F.array(zero))
-    placed = shared.select("nid", "bucket", own.alias("own"), F.explode(others).alias("other")).select(
+    placed = _buckets(classes).select("nid", "bucket", own.alias("own"), F.explode(others).alias("other")).select(
         "nid", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bid")
     )
     compared = placed.join(classes.select("nid", "sig"), "nid").repartition("bid").sortWithinPartitions("bid", "nid")
-    roots, _ = runtime.written(components(runtime.mapped(compared, _forest, "u long, v long")), "roots")
+    roots, _ = runtime.written(components(runtime.mapped(compared.select("nid", "bid", "sig"), _forest, "u long, v long")), "roots")
     # Only signatures with copies or near copies get the name of their group from elsewhere.
     named = (
-        classes.select("nid", "first", "copies")
+        classes.select("nid", "sid", "more", "first", "copies")
         .join(roots.withColumnRenamed("node", "nid"), "nid", "left")
         .where("copies > 1 or root is not null")
         .withColumn("root", F.coalesce("root", "nid"))
     )
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("top")), "root").select("nid", "top")
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("top")), "root").select("sid", "more", "top")
     same = F.col("doc_id").eqNullSafe(F.col("top.id")) & F.col("text_hash").eqNullSafe(F.col("top.hash"))
-    return signed.select("doc_id", "text_hash", "nid").join(named, "nid", "left").select(
+    return signed.select("doc_id", "text_hash", "sid", "more").join(named, ["sid", "more"], "left").select(
         "doc_id",
         "text_hash",
-        "nid",
+        "sid",
         F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.id")).alias("group_id"),
         (F.col("top").isNull() | same).alias("keep"),
     )
@@ -253,11 +253,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         return left.join(F.broadcast(right) if right.count() <= BROADCAST_KEYS else right, here, how)
 
     out = joined(docs, g.where("not keep").select(*key).distinct(), "left_anti")
-    twice = g.where("keep and nid is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(*key)
+    twice = g.where("keep and sid is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select(*key)
     if twice.isEmpty():
         return out.toDF(*names)
     repeated = joined(out, twice, "left_semi")
-    order = Window.partitionBy(own_id, own_hash).orderBy(F.xxhash64(*docs.columns))
+    # As JSON, as maps can't be hashed; of rows that differ in other columns the choice then doesn't depend on where they lie.
+    order = Window.partitionBy(own_id, own_hash).orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
     once = repeated.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
     return joined(out, twice, "left_anti").unionByName(once).toDF(*names)
 

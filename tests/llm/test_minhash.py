@@ -100,6 +100,23 @@ def test_one_row_stays_of_rows_that_are_the_same(spark, monkeypatch):
         assert texts.count("other words that stand alone here") == 1 and len(kept) == len(set(plain([t for _, t in rows])))
 
 
+def test_columns_of_any_kind(spark):
+    rows = [(1, "some words that are repeated", {"a": 1}, [{"x": {"y": None}}])] * 3 + [(1, "some words that are repeated", {"a": 2}, None), (2, "others that stand alone", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, meta map<string, int>, deep array<map<string, map<string, string>>>")
+    kept = minhash.dedup(df)
+    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
+def test_a_band_of_many_is_spread(spark):
+    """No step gathers all rows of a band in one task; equal sets of bands are one bucket."""
+    sig = [bytes(16) + np.random.default_rng(k).integers(0, 256, 496, np.uint8).tobytes() for k in range(40)]
+    classes = spark.createDataFrame(list(enumerate(sig)), "nid long, sig binary")
+    out = minhash._buckets(classes)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = out.collect()
+    assert sorted(r["nid"] for r in rows) == list(range(40)) and {r["size"] for r in rows} == {40} and len({r["bucket"] for r in rows}) == 1
+
+
 def test_query(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
     want = plain([r["text"] for r in docs])
