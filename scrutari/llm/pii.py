@@ -1,24 +1,31 @@
 """Personal data, found by a character-level bidirectional LSTM with CRF transitions.
 
 The network is written and trained in numpy, on labelled spans that
-``examples`` makes up from a seed, so it depends on no table and is trained
-once per process (about half a minute). Texts are cut into windows of
+``example`` makes up from a seed, so it depends on no table. Its weights lie in
+``pii_weights.npz``, made by ``python -m scrutari.llm.pii``, so that they are
+the same in every process and on every processor. Texts are cut into windows of
 ``WIDTH`` characters that overlap by ``OVERLAP``; all windows of a batch run
 through the network together, each is decoded by Viterbi, and a text's spans
 are reconciled over all of its windows: spans of one kind that overlap are
 united, of different kinds the longest stays.
 
+Kinds are e-mail addresses, telephone numbers, IP addresses (of both versions),
+numbers of cards and bank accounts, and secrets (keys, tokens, passwords).
+Names and postal addresses aren't among them.
+
 A window's result depends on its characters alone, so results don't depend on
 how rows are partitioned.
 
 Defined results: a null text has a null list of spans and stays null when
-masked; an empty text has none; repeated rows are treated alike; texts of any
-length are covered to their last character; an empty table gives an empty
-result. Other columns aren't read, and masking returns all columns as they were.
+masked; an empty text has none; spans may be of any length; repeated rows are
+treated alike; texts of any length are covered to their last character; an
+empty table gives an empty result. Other columns aren't read, and masking
+returns all columns as they were.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,7 +40,7 @@ KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET")
 K = 1 + len(KINDS)
 HIDDEN = 12
 WIDTH = 768
-OVERLAP = 64
+OVERLAP = 128
 #: Windows that run together, and steps after which those that have ended are left out.
 TOGETHER = 768
 STRETCH = 32
@@ -103,7 +110,17 @@ def _person(r: np.random.Generator) -> tuple[str, str]:
         a, b, c = _digits(r, 3), _pick(r, ("555", _digits(r, 3))), _digits(r, 4)
         return _pick(r, (f"+1 ({a}) {b}-{c}",) * 4 + (f"({a}) {b}-{c}", f"+1 {a} {b} {c}", f"+1-{a}-{b}-{c}", f"{a}-{b}-{c}", f"+{_digits(r, 2)} {_digits(r, 2)} {_digits(r, 4)} {c}")), "PHONE"
     if k == 2:
+        if r.random() < 0.15:
+            part = [f"{x:x}" for x in r.integers(0, 65536, 8)]
+            if r.random() < 0.5:
+                at = int(r.integers(1, 6))
+                part[at : at + int(r.integers(2, 8 - at))] = [""]
+            return ":".join(part), "IP"
         return ".".join(str(x) for x in r.integers(0, 256, 4)), "IP"
+    if k == 3 and r.random() < 0.15:  # accounts
+        d = _of(r, _ALNUM[:26], 2) + _digits(r, 2) + _digits(r, int(r.integers(11, 24)))
+        sep = _pick(r, ("", " "))
+        return sep.join(d[i : i + 4] for i in range(0, len(d), 4)), "CARD"
     if k == 3:
         d = _pick(r, ("4", "5", "3", "6", _digits(r, 1))) + _digits(r, 15)
         sep = _pick(r, ("", "", "", "", " ", "-"))
@@ -263,11 +280,20 @@ def _crf(em: np.ndarray, y: np.ndarray, trans: np.ndarray) -> tuple[float, np.nd
     return float(loss) / n, marg / n, dt / n
 
 
-ROUNDS = 700
+ROUNDS = 1_600
+#: Characters of the examples, in turn: most are short, as steps are what costs; some are as long as windows.
+LENGTHS = (112, 112, 112, 256, 112, 112, 112, WIDTH)
+WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "pii_weights.npz")
+
+
+@lru_cache(1)
+def weights() -> dict[str, np.ndarray]:
+    """The parameters that come with this package; read on the driver, the executors get them by broadcast."""
+    with np.load(WEIGHTS) as f:
+        return {k: f[k] for k in f.files}
 
 
-@lru_cache(2)
-def train(seed: int = 11, rounds: int = ROUNDS, batch: int = 48, length: int = 112) -> dict[str, np.ndarray]:
+def train(seed: int = 11, rounds: int = ROUNDS, batch: int = 48) -> dict[str, np.ndarray]:
     """Parameters after ``rounds`` steps of Adam on fresh made-up examples."""
     r = np.random.default_rng(seed)
     H = HIDDEN
@@ -290,7 +316,8 @@ def train(seed: int = 11, rounds: int = ROUNDS, batch: int = 48, length: int = 1
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, rounds + 1):
-        pairs = [example(r, length) for _ in range(batch)]
+        length = LENGTHS[step % len(LENGTHS)]
+        pairs = [example(r, length) for _ in range(max(8, batch * 112 // length))]
         ids = np.stack([c for c, _ in pairs], axis=1).astype(np.int64)
         y = np.stack([y for _, y in pairs], axis=1).astype(np.int64)
         hf, kf = _forward(p["Xf"], p["Uf"], ids)
@@ -425,10 +452,6 @@ class Tagger:
         return [reconcile(f, t or "") if f else f for f, t in zip(found, texts)]
 
 
-#: A run of fewer characters of a kind is no span.
-LEAST = 5
-
-
 def reconcile(spans: list[tuple[int, int, int]], text: str = "") -> list[tuple[int, int, int]]:
     """One text's spans from those of all its windows: united within a kind, else the longest stays."""
     united: list[list[int]] = []
@@ -442,7 +465,7 @@ def reconcile(spans: list[tuple[int, int, int]], text: str = "") -> list[tuple[i
                 united.append(last)
     out: list[tuple[int, int, int]] = []
     for a, b, k in sorted(united, key=lambda s: (s[0] - s[1], s[0], s[2])):
-        if b - a >= LEAST and all(b <= x or y <= a for x, y, _ in out):
+        if all(b <= x or y <= a for x, y, _ in out):
             out.append((a, b, k))
     return sorted(out)
 
@@ -459,7 +482,7 @@ _PIECE = 4_000_000
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) of each row; a span is (start, end, kind), counted in code points from 0."""
-    model = docs.sparkSession.sparkContext.broadcast(train())
+    model = docs.sparkSession.sparkContext.broadcast(weights())
     kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +499,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; ``length_col``, if given, gets the new length."""
-    model = docs.sparkSession.sparkContext.broadcast(train())
+    model = docs.sparkSession.sparkContext.broadcast(weights())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(model.value)
@@ -500,3 +523,7 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = None)
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+if __name__ == "__main__":
+    np.savez(WEIGHTS, **train())
