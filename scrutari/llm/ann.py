@@ -2,13 +2,13 @@
 
 All vectors build the tree, level by level: a leaf of more than ``LEAF``
 vectors gets up to ``BRANCH`` children by Lloyd's iterations, whose sums are
-made where the vectors are. Every vector lies in one leaf and is also a query:
-its tree search takes the nearest node from a priority queue, adds the node's
-children to the queue, and goes on until it has come to ``visits`` leaves, the
-best bins first. Queries of neighbouring leaves are answered together, in one
-region: as their searches come to much the same leaves, it is the leaves that
-are sent to the regions, not every query to every leaf that it visits. Within a
-leaf all distances are computed.
+made where the vectors are. Every vector lies in one leaf. Queries are rows of
+the table, all or those that a condition chooses: a query's search takes the
+nearest node from a priority queue, adds the node's children to the queue, and
+goes on until it has come to ``visits`` leaves, the best bins first. Each leaf
+meets the queries that visit it; within a leaf all distances are computed. A
+leaf that many queries visit meets them in pieces of about ``PIECE``, so no task
+has more, however hot the leaf.
 
 ``visits`` is calibrated: for ``PROBES`` queries the true neighbours are found
 by brute force over all vectors; leaf visits widen until the share of true
@@ -19,13 +19,13 @@ those with the smallest ids, can ever be needed, so thousands of copies cost
 no more than a few.
 
 The tree is broadcast: about n / LEAF vectors. ``LEAVES`` bounds it; beyond,
-leaves grow and are compared block by block, so memory is bounded, and time by
-vector grows with n / LEAVES.
+leaves grow and are compared block by block, so memory is bounded, recall isn't
+touched, and time by query grows with n / LEAVES.
 
 Defined results: (id, neighbour, rank, distance) for each distinct id and
-vector, neighbours by (Euclidean distance, id); a row is never its own
-neighbour, nor is one of the same id. Fewer than ``k`` rows where there are
-fewer other vectors. Rows whose id is null, whose vector is null or empty, or
+vector, neighbours by (Euclidean distance, id); ids may be of any type that has
+an order; a row is never its own neighbour, nor is one of the same id. Fewer
+than ``k`` rows where there are fewer other vectors. Rows whose id is null, whose vector is null or empty, or
 holds a null or anything that isn't finite, or isn't of the length of most
 vectors (the least of several such lengths), have no neighbours and are none.
 An empty table gives an empty result. Other columns aren't read.
@@ -34,14 +34,15 @@ An empty table gives an empty result. Other columns aren't read.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from . import runtime
 
@@ -54,8 +55,10 @@ PROBES = 400
 LEAVES = 1 << 17
 #: Vectors or queries of a leaf that are compared at a time.
 BLOCK = 4096
-#: Queries of neighbouring leaves that are answered together.
-REGION = 16_384
+#: Queries that meet a leaf in one task.
+PIECE = 16_384
+#: Rows about hot leaves that are broadcast (16 bytes each).
+BROADCAST_PIECES = 1_000_000
 
 
 @dataclass
@@ -78,20 +81,21 @@ class Tree:
             open_ = order[self.high[node[order]] > self.low[node[order]]]
         return node
 
-    def nearest(self, x: np.ndarray, visits: int) -> list[int]:
+    def walk(self, x: np.ndarray) -> Iterator[int]:
         """Leaves in the order of a best-bin-first search."""
         queue = [(0.0, 0)]
-        out: list[int] = []
-        while queue and len(out) < visits:
+        while queue:
             _, n = heapq.heappop(queue)
             lo, hi = int(self.low[n]), int(self.high[n])
             if lo == hi:
-                out.append(n)
+                yield n
                 continue
             d = self.centre[lo:hi] - x
             for k, v in enumerate(np.einsum("ij,ij->i", d, d).tolist()):
                 heapq.heappush(queue, (v, lo + k))
-        return out
+
+    def nearest(self, x: np.ndarray, visits: int) -> list[int]:
+        return list(itertools.islice(self.walk(x), visits))
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,6 +109,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0), np.float32)
 
 
+def _order(ids: pa.Array) -> np.ndarray:
+    """Numbers that sort like the ids, of whatever type."""
+    return pc.rank(ids, sort_keys="ascending", tiebreaker="dense").to_numpy()
+
+
 def best(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and distances of the ``k`` nearest, by (distance, id), of each query; fewer if there are fewer."""
     k = min(k, len(x))
@@ -129,13 +138,19 @@ def best(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[n
 
 
 def clean(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, vec, a, b, copy): usable rows, each id and vector once; ``copy`` numbers the rows of equal vectors by id."""
+    """(id, vec, a, b): usable rows, each id and vector once, and two hashes of the vector."""
     v = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("vec")).where("id is not null and size(vec) > 0")
     v = v.where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     usual = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").head()
     v = v.where(F.size("vec") == (usual["n"] if usual else 0))
-    v = v.select("id", "vec", F.xxhash64("vec").alias("a"), F.xxhash64(F.lit(7), "vec").alias("b")).dropDuplicates(["a", "b", "id"])
-    return v.withColumn("copy", F.row_number().over(Window.partitionBy("a", "b").orderBy("id")))
+    # A zero with a sign is a zero.
+    v = v.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast("float")))
+    return v.select("id", "vec", F.xxhash64("vec").alias("a"), F.xxhash64(F.lit(7), "vec").alias("b")).dropDuplicates(["a", "b", "id"])
+
+
+def few(usable: DataFrame, k: int) -> DataFrame:
+    """(id, vec, a, b, copy): of equal vectors the ``k + 1`` of the smallest ids; ``copy`` numbers them. Tasks drop others before anything moves."""
+    return usable.withColumn("copy", F.row_number().over(Window.partitionBy("a", "b").orderBy("id"))).where(F.col("copy") <= k + 1)
 
 
 def _sums(members: DataFrame, tree: Tree) -> dict[int, tuple[int, np.ndarray]]:
@@ -232,148 +247,126 @@ def build(members: DataFrame) -> Tree:
 
 def calibrate(members: DataFrame, tree: Tree, k: int, recall: float = RECALL, probes: int = PROBES) -> int:
     """Leaf visits that a search needs for ``recall``, from the true neighbours of some queries."""
-    asked = members.where("copy = 1").orderBy(F.xxhash64(F.lit(3), "a", "b"), "id").limit(probes).toPandas()
-    if not len(asked):
+    spark = members.sparkSession
+    asked = members.where("copy = 1").orderBy(F.xxhash64(F.lit(3), "a", "b"), "id").limit(probes).select("id", "vec").collect()
+    if not asked:
         return 1
-    shared = members.sparkSession.sparkContext.broadcast((tree, np.array(asked["vec"].tolist(), np.float32)))
+    vectors = np.array([r["vec"] for r in asked], np.float32)
+    shared = spark.sparkContext.broadcast((tree, vectors))
+    kind = members.schema["id"].dataType.simpleString()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, q = shared.value
         for batch in it:
             for i in range(0, batch.num_rows, BLOCK):
                 b = batch.slice(i, BLOCK)
-                x, ids = _matrix(b.column(1)), b.column(0).to_numpy()
-                at, dist = best(x, ids, q, k + 1)
-                leaf = t.leaves(x)[at]
-                n = at.shape[1]
+                x = _matrix(b.column(1))
+                at, dist = best(x, _order(b.column(0)), q, k + 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(np.arange(len(q)), n)), pa.array(ids[at].ravel()), pa.array(dist.ravel()), pa.array(leaf.ravel())], ["q", "id", "d", "leaf"]
+                    [pa.array(np.repeat(np.arange(len(q)), at.shape[1])), b.column(0).take(pa.array(at.ravel())), pa.array(dist.ravel()), pa.array(t.leaves(x)[at].ravel())],
+                    ["q", "id", "d", "leaf"],
                 )
 
-    near = runtime.mapped(members.select("id", "vec"), run, f"q long, id {dict(members.dtypes)['id']}, d double, leaf long")
+    near = runtime.mapped(members.select("id", "vec"), run, f"q long, id {kind}, d double, leaf long")
+    own = spark.createDataFrame([(i, r["id"]) for i, r in enumerate(asked)], f"q long, own {kind}")
     nth = F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))
-    true = near.withColumn("nth", nth).where(F.col("nth") <= k + 1).toPandas()
+    # As many rows as probes.
+    true = near.join(F.broadcast(own), "q").where("id <> own").withColumn("nth", nth).where(F.col("nth") <= k).select("q", "leaf").collect()
+    wanted: dict[int, list[int]] = {}
+    for r in true:
+        wanted.setdefault(r["q"], []).append(r["leaf"])
     ranks = []
-    for i, (own, vec) in enumerate(zip(asked["id"], asked["vec"])):
-        place = {leaf: j + 1 for j, leaf in enumerate(tree.nearest(np.array(vec, np.float32), 1 << 62))}
-        mine = true[(true["q"] == i) & (true["id"] != own)].sort_values(["d", "id"])[:k]
-        ranks += [place[leaf] for leaf in mine["leaf"]]
+    for i, leaves in wanted.items():
+        left, place = set(leaves), {}
+        for j, leaf in enumerate(tree.walk(vectors[i]), 1):
+            if leaf in left:
+                place[leaf] = j
+                left.discard(leaf)
+                if not left:
+                    break
+        ranks += [place[leaf] for leaf in leaves]
     if not ranks:
         return 1
     return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))))])
 
 
-def _regions(tree: Tree, size: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Each leaf's region, and how many regions it is cut into: neighbouring leaves of together about ``REGION`` vectors."""
-    first, pieces = np.zeros(len(tree.low), np.int64), np.ones(len(tree.low), np.int64)
-    region, held = 0, 0
-    stack = [0]
-    while stack:
-        n = stack.pop()
-        if tree.high[n] > tree.low[n]:
-            stack.extend(range(tree.high[n] - 1, tree.low[n] - 1, -1))
-            continue
-        c = size.get(n, 0)
-        if held and held + c > REGION:
-            region, held = region + 1, 0
-        first[n], held = region, held + c
-        if c > REGION:
-            pieces[n] = -(-c // REGION)
-            region, held = region + pieces[n], 0
-    return first, pieces
-
-
-class _Region:
-    """The queries of a region and the nearest that each has met."""
-
-    def __init__(self, group: pa.Table, k: int):
-        self.a, self.b = group.column("a"), group.column("b")
-        self.x = _matrix(group.column("vec").combine_chunks())
-        visits = group.column("visits").combine_chunks()
-        leaf, size = visits.flatten().to_numpy(), np.diff(visits.offsets.to_numpy())
-        query = np.repeat(np.arange(len(size)), size)
-        order = np.argsort(leaf, kind="stable")
-        cuts = np.concatenate((np.flatnonzero(np.diff(leaf[order], prepend=-1)), [len(leaf)]))
-        self.of = {int(leaf[order[i]]): query[order[i:j]] for i, j in zip(cuts, cuts[1:])}
-        self.k, self.dist, self.ids = k + 1, np.full((len(size), k + 1), np.inf), None
-
-    def meet(self, leaf: int, x: np.ndarray, ids: np.ndarray) -> None:
-        if self.ids is None:
-            self.ids = np.full(self.dist.shape, ids[0])
-        asks = self.of.get(leaf, np.empty(0, np.int64))
-        for i in range(0, len(asks), BLOCK):
-            q = asks[i : i + BLOCK]
-            for j in range(0, len(x), BLOCK):
-                part = ids[j : j + BLOCK]
-                at, dist = best(x[j : j + BLOCK], part, self.x[q], self.k)
-                d = np.concatenate((self.dist[q], dist), axis=1)
-                n = np.concatenate((self.ids[q], part[at]), axis=1)
-                order = np.lexsort((n, d))[:, : self.k]
-                self.dist[q], self.ids[q] = np.take_along_axis(d, order, axis=1), np.take_along_axis(n, order, axis=1)
-
-    def found(self, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-        if self.ids is None:
-            return
-        there = np.isfinite(self.dist)
-        at = pa.array(np.concatenate(([0], np.cumsum(there.sum(axis=1)))), pa.int32())
-        pairs = pa.StructArray.from_arrays([pa.array(self.dist[there]), pa.array(self.ids[there], kind)], ["d", "id"])
-        yield pa.RecordBatch.from_arrays([self.a.combine_chunks(), self.b.combine_chunks(), pa.ListArray.from_arrays(at, pairs)], ["a", "b", "near"])
-
-
-def neighbours(rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
-    """(id, neighbour, rank, distance): the ``k`` nearest of every row; the ids keep their column's type."""
-    kind = dict(rows.dtypes)[id_col]
+def neighbours(
+    rows: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = RECALL, queries: Column | None = None
+) -> DataFrame:
+    """(id, neighbour, rank, distance): the ``k`` nearest, among all rows, of every row for which ``queries``, a condition on ``id``, holds; of all if there is none."""
+    spark, kind = rows.sparkSession, rows.schema[id_col].dataType.simpleString()
     usable, _ = runtime.written(clean(rows, id_col, vector_col), "vectors")
-    members = usable.where(F.col("copy") <= k + 1)
+    members, _ = runtime.written(few(usable, k), "members")
     tree = build(members)
     visits = calibrate(members, tree, k, recall)
-    first, pieces = _regions(tree, {n: c for n, (c, _) in _sums(members, tree).items()})
-    shared = rows.sparkSession.sparkContext.broadcast((tree, first, pieces))
+    shared = spark.sparkContext.broadcast(tree)
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, first, pieces = shared.value
         for batch in it:
-            if not batch.num_rows:
-                continue
-            x, a = _matrix(batch.column(0)), batch.column(1).to_numpy()
-            leaf = t.leaves(x)
-            region = first[leaf] + a % pieces[leaf]
-            lists = [t.nearest(v, visits) for v in x]
-            at = pa.array(np.cumsum([0, *map(len, lists)]), pa.int32())
-            ways = pa.ListArray.from_arrays(at, pa.array([n for w in lists for n in w], pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(region, pa.int64()), ways], ["vec", "a", "b", "region", "visits"])
-
-    asked, _ = runtime.written(
-        runtime.mapped(usable.where("copy = 1").select("vec", "a", "b"), ask, "vec array<float>, a long, b long, region long, visits array<int>"), "queries"
-    )
-    pairs = asked.select("region", F.explode("visits").alias("leaf")).distinct().withColumn("leaf", F.col("leaf").cast("long"))
-    there = _leafed(members, tree).join(pairs, "leaf").select("region", F.col("leaf") + 1, "id", "vec", "a", "b", F.lit(None).cast("array<int>"))
-    # Of a region the queries come first, then the vectors leaf by leaf.
-    both = asked.select("region", F.lit(0).cast("long").alias("leaf"), F.lit(None).cast(kind).alias("id"), "vec", "a", "b", "visits").union(there)
-    both = both.withColumn("key", F.shiftleft("region", 32).bitwiseOR(F.col("leaf"))).drop("region", "leaf")
-    both = both.repartition(F.shiftright("key", 32)).sortWithinPartitions("key")
-
-    id_type = to_arrow_type(usable.schema["id"].dataType)
+            for i in range(0, batch.num_rows, 1024):
+                b = batch.slice(i, 1024)
+                ways = [shared.value.nearest(v, visits) for v in _matrix(b.column(2))]
+                own = np.repeat(np.arange(len(ways)), [len(w) for w in ways])
+                leaf = pa.array([n for w in ways for n in w], pa.int64())
+                yield pa.RecordBatch.from_arrays([leaf, *(b.column(c).take(pa.array(own)) for c in range(3))], ["leaf", "a", "b", "vec"])
+
+    asking = usable if queries is None else usable.where(queries)
+    once = asking.groupBy("a", "b").agg(F.first("vec").alias("vec"))
+    visiting, _ = runtime.written(runtime.mapped(once, ask, "leaf long, a long, b long, vec array<float>"), "visits")
+    hot = visiting.groupBy("leaf").agg(F.ceil(F.count("*") / PIECE).cast("long").alias("pieces")).where("pieces > 1")
+    n = hot.count()
+
+    def pieced(df: DataFrame, piece: Column) -> DataFrame:
+        out = df.join(F.broadcast(hot) if n <= BROADCAST_PIECES else hot, "leaf", "left") if n else df.withColumn("pieces", F.lit(None).cast("long"))
+        return out.withColumn("piece", piece).drop("pieces")
+
+    zero = F.lit(0).cast("long")
+    own = F.when(F.col("pieces").isNull(), zero).otherwise(F.pmod("a", "pieces"))
+    all_ = F.explode(F.when(F.col("pieces").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.col("pieces") - 1)))
+    lone = F.lit(None).cast(kind)
+    left = pieced(visiting, own).select("leaf", "piece", F.lit(0).cast("long").alias("side"), lone.alias("id"), "vec", "a", "b")
+    right = pieced(_leafed(members, tree).select("leaf", "id", "vec"), all_).select("leaf", "piece", F.lit(1).cast("long").alias("side"), "id", "vec", zero.alias("a"), zero.alias("b"))
+    # Of a leaf's piece the queries come first, then the vectors.
+    key = F.shiftleft("leaf", 32).bitwiseOR(F.shiftleft("piece", 1)).bitwiseOR(F.col("side"))
+    both = left.unionByName(right).select(key.alias("key"), "id", "vec", "a", "b").repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
 
     def meet(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: _Region | None = None
+        asks: pa.Table | None = None
         for group in runtime.groups(it, "key"):
-            leaf = group.column("key")[0].as_py() & 0xFFFFFFFF
-            if not leaf:
-                if now:
-                    yield from now.found(id_type)
-                now = _Region(group, k)
-            else:
-                now.meet(leaf - 1, _matrix(group.column("vec").combine_chunks()), group.column("id").to_numpy())
-        if now:
-            yield from now.found(id_type)
-
-    near = runtime.mapped(both, meet, f"a long, b long, near array<struct<d: double, id: {kind}>>")
-    others = usable.select("id", "a", "b").join(near, ["a", "b"]).withColumn("near", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k))
+            at = group.column("key")[0].as_py()
+            if not at & 1:
+                asks, place = group, at | 1
+                continue
+            if asks is None or at != place:
+                continue  # no query comes to this leaf
+            x, ids = _matrix(group.column("vec").combine_chunks()), group.column("id").combine_chunks()
+            order, q = _order(ids), _matrix(asks.column("vec").combine_chunks())
+            for i in range(0, len(q), BLOCK):
+                some = slice(i, min(i + BLOCK, len(q)))
+                parts = []
+                for j in range(0, len(x), BLOCK):
+                    one, d = best(x[j : j + BLOCK], order[j : j + BLOCK], q[some], k + 1)
+                    parts.append((one + j, d))
+                near, dist = (np.concatenate([p[c] for p in parts], axis=1) for c in (0, 1))
+                if len(parts) > 1:
+                    top = np.lexsort((order[near], dist))[:, : k + 1]
+                    near, dist = np.take_along_axis(near, top, axis=1), np.take_along_axis(dist, top, axis=1)
+                size = near.shape[1]
+                pairs = pa.StructArray.from_arrays([pa.array(dist.ravel()), ids.take(pa.array(near.ravel()))], ["d", "id"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(near) * size + 1, size) if size else np.zeros(len(near) + 1), pa.int32()), pairs)
+                own = asks.slice(i, len(near))
+                yield pa.RecordBatch.from_arrays([own.column("a").combine_chunks(), own.column("b").combine_chunks(), lists], ["a", "b", "near"])
+            asks = None
+
+    found = runtime.mapped(both, meet, f"a long, b long, near array<struct<d: double, id: {kind}>>")
+    # Of each query at most k + 1 from each leaf that it visits.
+    near = found.groupBy("a", "b").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    others = asking.select("id", "a", "b").join(near, ["a", "b"]).withColumn("near", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k))
     out = others.select("id", F.posexplode("near").alias("rank", "x"))
     return out.select("id", F.col("x.id").alias("neighbour"), (F.col("rank") + 1).alias("rank"), F.col("x.d").alias("distance"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest neighbours of every embedding."""
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+    """The ten nearest neighbours, among all embeddings, of those whose number is divisible by 50."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return neighbours(rows, queries=F.col("id") % 50 == 0).withColumnRenamed("id", "vec_id")

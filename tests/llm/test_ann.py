@@ -57,7 +57,7 @@ def test_recall_and_copies(spark, monkeypatch):
     ids = r.permutation(5000)[:1200]
     got, want = found(ann.neighbours(frame(spark, ids, x))), true(ids, x, 10)
     assert got.keys() == want.keys() and all(len(v) == 10 for v in got.values())
-    assert recall(got, want) >= 0.9
+    assert recall(got, want) >= ann.RECALL - 0.01  # calibrated on some of the queries
     for i in ids[:150]:
         assert got[i] == want[i]
     for q in got:
@@ -74,10 +74,52 @@ def test_edge_cases(spark):
     assert ann.neighbours(df.where("vec_id = 1")).count() == 0
 
 
+def test_ids_of_any_type(spark):
+    """Strings of different lengths, also such as numbers sort otherwise, and dates; ties go to the least."""
+    r = np.random.default_rng(5)
+    x = r.integers(0, 3, (60, 2)).astype(np.float32)
+    names = [("é" if i % 7 == 0 else "k") + "x" * (i % 13) + str(i) for i in range(60)]
+    df = spark.createDataFrame([(n, [float(v) for v in row]) for n, row in zip(names, x)], "name string, v array<float>")
+    got = found(ann.neighbours(df, 5, "name", "v"))
+    for n, v in zip(names, x):
+        d = [(float(np.sqrt(((w.astype(float) - v) ** 2).sum())), m) for m, w in zip(names, x) if m != n]
+        assert [(i, e) for i, e in got[n]] == [(m, pytest.approx(e)) for e, m in sorted(d)[:5]]
+    days = df.select(F.expr("date_add(DATE'2020-01-01', cast(regexp_extract(name, '[0-9]+', 0) as int))").alias("day"), "v")
+    out = ann.neighbours(days, 3, "day", "v")
+    assert dict(out.dtypes)["neighbour"] == "date" and out.count() == 180
+
+
+def test_hot_leaves_and_chosen_queries(spark, monkeypatch):
+    """Leaves that meet their queries in several pieces, and blocks smaller than a leaf, change nothing."""
+    r = np.random.default_rng(6)
+    x = np.concatenate((r.normal(size=(500, 8)) * 0.01, r.normal(size=(300, 8)))).astype(np.float32)
+    ids = np.arange(800)
+    df = frame(spark, ids, x)
+    want = ann.neighbours(df, queries=F.col("id") % 3 == 0)
+    first = found(want)
+    assert set(first) == {i for i in range(800) if i % 3 == 0}
+    monkeypatch.setattr(ann, "PIECE", 20)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(ann, "BROADCAST_PIECES", most)
+        assert found(ann.neighbours(df, queries=F.col("id") % 3 == 0)) == first
+    full = true(ids, x, 10)
+    assert recall(first, {i: full[i] for i in first}) >= ann.RECALL - 0.02
+
+
 def test_query(spark, folder):
     df = spark.read.parquet(f"{folder}/embeddings.parquet").orderBy("vec_id").toPandas()
     x, ids = np.array(df["embedding"].tolist(), np.float32), df["vec_id"].to_numpy()
     got = found(ann.query(spark, folder).withColumnRenamed("vec_id", "id"))
-    want = true(ids, x, 10)
+    want = {i: n for i, n in true(ids, x, 10).items() if i % 50 == 0}
     assert got.keys() == want.keys()
-    assert recall(got, want) >= 0.9
+    assert recall(got, want) >= 0.96
+
+
+def test_recall_of_all_queries_of_a_larger_table(spark):
+    from helpers import DATA
+
+    df = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet")
+    rows = df.orderBy("vec_id").toPandas()
+    want = true(rows["vec_id"].to_numpy(), np.array(rows["embedding"].tolist(), np.float32), 10)
+    assert recall(found(ann.neighbours(df)), want) >= ann.RECALL - 0.01
