@@ -45,15 +45,17 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application's own below ``spark.checkpoint.dir``; removed when the driver ends.
 
-    The setting is the cluster's. Only where it is unset, as in tests in local
-    mode, a temporary folder takes its place.
+    The setting is the cluster's. Only where it is unset and all is on one
+    machine, as in tests, a temporary folder takes its place; elsewhere that is
+    an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _own:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="scrutari-shared-")
-            spark.conf.set("spark.checkpoint.dir", base)
         _own[app] = f"{base.rstrip('/')}/scrutari-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(remove, spark, _own[app])
     return _own[app]
