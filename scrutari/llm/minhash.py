@@ -9,14 +9,16 @@ ones, which 128 bits of a hash tell apart), 16 bytes per band and again for
 bands that several have, and again the signatures of only those documents that
 share a band with another one. Bands are counted by partial sums and joined, so
 that a band that a third of all texts have is spread over tasks. Inside a
-bucket every pair is decided, but only a spanning forest of the verified pairs
-is emitted, so that a group of n copies costs n - 1 edges rather than
-n * (n - 1) / 2. There is no cap on the size of a bucket: one of more than
+bucket every pair of different signatures is decided, but only a spanning
+forest of the verified pairs and each signature's number of links are emitted:
+n different signatures cost at most n - 1 edges and n numbers rather than
+n * (n - 1) / 2 pairs. A pair that meets in several buckets counts in that of its
+first common band. There is no cap on the size of a bucket: one of more than
 ``BLOCK`` signatures is cut into blocks and every pair of blocks is compared,
 so what moves for a bucket of n different signatures is n * n / ``BLOCK`` of them.
 
 Defined results: a text without words (null, empty, only punctuation) is in a
-group of its own and always stays; a text of one or two words has one shingle,
+group of its own, has no links and always stays; a text of one or two words has one shingle,
 all its words; rows with the same id and text are copies of one document; a
 null id is allowed and sorts after all others when the row that stays is
 chosen; an empty table gives an empty result. Other columns aren't read.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ ROWS = PERMUTATIONS // BANDS
 SHINGLE = 3
 #: Pairs count as near-duplicates from this share of equal minima.
 THRESHOLD = 0.5
+#: Equal minima of a pair from which it counts.
+NEED = int(np.ceil(THRESHOLD * PERMUTATIONS - 1e-9))
 #: Signatures compared in one task at a time.
 BLOCK = 16_384
 
@@ -108,30 +113,117 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _forest(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that join all signatures of a bucket which are linked by verified pairs."""
-    need = int(np.ceil(THRESHOLD * PERMUTATIONS - 1e-9))
-    a: list[int] = []
-    b: list[int] = []
+#: Rows and columns of pairs that are compared at a time.
+TILE = (128, 4096)
+#: Up to so many pairs all minima are compared at a stroke.
+SMALL = 2048
+
+
+def _tiles(n: int, m: int, triangle: bool) -> Iterator[tuple[slice, slice]]:
+    for i in range(0, n, TILE[0]):
+        for j in range(i + 1 if triangle else 0, m, TILE[1]):
+            yield slice(i, min(i + TILE[0], n)), slice(j, min(j + TILE[1], m))
+
+
+class _Pairs:
+    """Verified pairs of a bucket: a forest that joins them, and how many copies each signature is linked to."""
+
+    def __init__(self, nid: np.ndarray, copies: np.ndarray, sig: np.ndarray, least: int):
+        self.nid, self.copies, self.sig, self.least = nid, copies.astype(np.float64), sig, least
+        self.label = np.arange(len(nid))
+        self.links = np.zeros(len(nid))
+        self.edges: list[tuple[int, int]] = []
+
+    @cached_property
+    def minima(self) -> np.ndarray:
+        return np.ascontiguousarray(self.sig.T)
+
+    @cached_property
+    def bands(self) -> np.ndarray:
+        out = np.zeros((BANDS, len(self.nid)), np.uint64)
+        for k in range(ROWS):
+            out = tokens.mix(out) ^ self.minima[k::ROWS]
+        return out
+
+    def _tile(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which pairs are verified, and which count here: a pair counts in the bucket of the first band that it has in common."""
+        if len(i) * len(j) <= SMALL:
+            same = self.sig[i][:, None, :] == self.sig[j][None, :, :]
+            bands = same.reshape(len(i), len(j), BANDS, ROWS).all(axis=3)
+            hit = np.count_nonzero(same, axis=2) >= NEED
+            return hit, hit & bands[:, :, self.least] & ~bands[:, :, : self.least].any(axis=2)
+        n = np.zeros((len(i), len(j)), np.uint8)
+        a, b = self.minima[:, i], self.minima[:, j]
+        for k in range(PERMUTATIONS):
+            n += a[k][:, None] == b[k][None, :]
+        hit = n >= NEED
+        if not hit.any():
+            return hit, hit
+        a, b = self.bands[:, i], self.bands[:, j]
+        count = hit & (a[self.least][:, None] == b[self.least][None, :])
+        for k in range(self.least):
+            count &= a[k][:, None] != b[k][None, :]
+        return hit, count
+
+    def compare(self, x: np.ndarray, y: np.ndarray | None = None) -> None:
+        """All pairs of places within ``x``, or between ``x`` and ``y``."""
+        other = x if y is None else y
+        for r, c in _tiles(len(x), len(other), y is None):
+            i, j = x[r], other[c]
+            hit, count = self._tile(i, j)
+            if y is None:
+                upper = np.arange(r.start, r.stop)[:, None] < np.arange(c.start, c.stop)[None, :]
+                hit, count = hit & upper, count & upper
+            if not hit.any():
+                continue
+            count = count.astype(np.float64)
+            self.links[i] += count @ self.copies[j]
+            self.links[j] += self.copies[i] @ count
+            for row in np.flatnonzero(hit.any(axis=1)):
+                u = i[row]
+                near = j[hit[row]]
+                of = self.label[near]
+                if (of == self.label[u]).all():
+                    continue
+                trees, first = np.unique(of, return_index=True)
+                new = trees != self.label[u]
+                self.edges.extend((int(self.nid[u]), int(v)) for v in self.nid[near[first[new]]])
+                self.label[np.isin(self.label, trees[new])] = self.label[u]
+
+
+def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket, or pair of blocks of a large one: edges (u, v) that join what is linked by verified pairs, and (u, links)."""
+    u: list[np.ndarray] = []
+    v: list[np.ndarray] = []
+    links: list[np.ndarray] = []
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        a, b, n = (np.concatenate(x) for x in (u, v, links))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b < 0), pa.array(n, mask=b >= 0)], ["u", "v", "links"])
+
     for group in runtime.groups(it, "bid"):
-        nid = group.column("nid").to_numpy()
+        nid, least, own, cross, copies = (group.column(c).to_numpy() for c in ("nid", "least", "own", "cross", "copies"))
         sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint32).reshape(-1, PERMUTATIONS)
-        left = np.arange(len(nid))
-        while len(left) > 1:
-            queue, left = [left[0]], left[1:]
-            while queue and len(left):
-                u = queue.pop()
-                hit = (sig[left] == sig[u]).sum(axis=1) >= need
-                near = left[hit]
-                left = left[~hit]
-                a.extend([int(nid[u])] * len(near))
-                b.extend(nid[near].tolist())
-                queue.extend(near.tolist())
-        if len(a) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
-            a, b = [], []
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
+        for b in np.unique(least):  # one, unless names of buckets collide
+            at = np.flatnonzero(least == b)
+            pairs = _Pairs(nid[at], copies[at], sig[at], int(b))
+            if cross[at[0]]:
+                low = own[at] == own[at].min()
+                pairs.compare(np.flatnonzero(low), np.flatnonzero(~low))
+            else:
+                pairs.compare(np.arange(len(at)))
+            edges = np.array(pairs.edges, np.int64).reshape(-1, 2)
+            some = np.flatnonzero(pairs.links)
+            u += [edges[:, 0], pairs.nid[some]]
+            v += [edges[:, 1], np.full(len(some), -1)]
+            links += [np.zeros(len(edges), np.int64), pairs.links[some].astype(np.int64)]
+            size += len(edges) + len(some)
+        if size > 50_000:
+            yield rows()
+            u, v, links, size = [], [], [], 0
+    if size:
+        yield rows()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,21 +270,25 @@ BROADCAST_KEYS = 2_000_000
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """(nid, bucket, size): the buckets of classes that share a band with another one; bands that hold the same classes are one bucket."""
+    """(nid, bucket, size, least): the buckets of classes that share a band with another one.
+
+    Bands that hold the same classes are one bucket; ``least`` is the first of them.
+    """
     bands = classes.select(
         "nid",
-        F.explode(F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))).alias("band"),
+        F.posexplode(F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))).alias("place", "band"),
     )
     shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("nid")).alias("mark")).where("size > 1")
-    return bands.join(shared, "band").select(F.xxhash64("size", "mark").alias("bucket"), "nid", "size").distinct()
+    return bands.join(shared, "band").groupBy("nid", F.xxhash64("size", "mark").alias("bucket")).agg(F.max("size").alias("size"), F.min("place").alias("least"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, sid, group_id, keep) for each row.
+    """(doc_id, text_hash, sid, group_id, links, keep) for each row.
 
-    ``group_id`` is the smallest id of the row's near-duplicate group; ``sid``
-    is half of the signature's name and null for a text without words. Where an
-    id occurs with several texts, ``text_hash`` tells which of them stays.
+    ``group_id`` is the smallest id of the row's near-duplicate group; ``links``
+    counts the other rows that are a verified near duplicate of this one;
+    ``sid`` is half of the signature's name and null for a text without words.
+    Where an id occurs with several texts, ``text_hash`` tells which of them stays.
     """
     kind = dict(docs.dtypes)[id_col]
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -206,11 +302,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     own = F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("nid"), blocks)).otherwise(zero)
     others = F.when(F.col("size") > BLOCK, F.sequence(zero, blocks - 1)).otherwise(F.array(zero))
-    placed = _buckets(classes).select("nid", "bucket", own.alias("own"), F.explode(others).alias("other")).select(
-        "nid", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bid")
+    placed = _buckets(classes).select("nid", "bucket", "least", own.alias("own"), F.explode(others).alias("other")).select(
+        "nid", "least", "own", (F.col("own") != F.col("other")).alias("cross"), F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bid")
     )
-    compared = placed.join(classes.select("nid", "sig"), "nid").repartition("bid").sortWithinPartitions("bid", "nid")
-    roots, _ = runtime.written(components(runtime.mapped(compared.select("nid", "bid", "sig"), _forest, "u long, v long")), "roots")
+    compared = placed.join(classes.select("nid", "copies", "sig"), "nid").repartition("bid").sortWithinPartitions("bid", "nid")
+    verified, _ = runtime.written(runtime.mapped(compared.select("nid", "bid", "least", "own", "cross", "copies", "sig"), _verify, "u long, v long, links long"), "verified")
+    linked = verified.where("v is null").groupBy(F.col("u").alias("nid")).agg(F.sum("links").alias("linked"))
+    roots, _ = runtime.written(components(verified.where("v is not null").select("u", "v")).join(linked.withColumnRenamed("nid", "node"), "node", "left"), "roots")
     # Only signatures with copies or near copies get the name of their group from elsewhere.
     named = (
         classes.select("nid", "sid", "more", "first", "copies")
@@ -218,20 +316,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         .where("copies > 1 or root is not null")
         .withColumn("root", F.coalesce("root", "nid"))
     )
-    named = named.join(named.groupBy("root").agg(F.min("first").alias("top")), "root").select("sid", "more", "top")
+    links = F.col("copies") - 1 + F.coalesce("linked", zero)
+    named = named.join(named.groupBy("root").agg(F.min("first").alias("top")), "root").select("sid", "more", "top", links.alias("links"))
     same = F.col("doc_id").eqNullSafe(F.col("top.id")) & F.col("text_hash").eqNullSafe(F.col("top.hash"))
     return signed.select("doc_id", "text_hash", "sid", "more").join(named, ["sid", "more"], "left").select(
         "doc_id",
         "text_hash",
         "sid",
         F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.id")).alias("group_id"),
+        F.coalesce("links", zero).alias("links"),
         (F.col("top").isNull() | same).alias("keep"),
     )
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, group_id, keep) for each row of ``docs``; ``keep`` holds for the document of each group that stays."""
-    return groups(docs, id_col, text_col).select("doc_id", "group_id", "keep")
+    """(doc_id, group_id, links, keep) for each row of ``docs``; ``keep`` holds for the document of each group that stays."""
+    return groups(docs, id_col, text_col).select("doc_id", "group_id", "links", "keep")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

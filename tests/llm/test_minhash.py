@@ -29,6 +29,18 @@ def plain(texts):
     return [find(i) for i in range(len(texts))]
 
 
+def linked(texts):
+    """Of each text the number of others that share a band and enough minima with it."""
+    sig = minhash.signatures(texts)
+    full = np.flatnonzero((sig != 0xFFFFFFFF).any(axis=1))
+    out = [0] * len(texts)
+    for i in full:
+        same = sig[full] == sig[i]
+        hit = same.reshape(len(full), minhash.BANDS, minhash.ROWS).all(axis=2).any(axis=1) & (same.mean(axis=1) >= minhash.THRESHOLD)
+        out[i] = int(hit.sum()) - 1
+    return out
+
+
 def variants(seed, n=60):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(500)]
@@ -44,17 +56,21 @@ def variants(seed, n=60):
     return out[:n]
 
 
-@pytest.mark.parametrize("block", [16_384, 3])
-def test_like_every_pair(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, tile, small", [(16_384, (128, 4096), 2048), (3, (2, 3), 2)])
+def test_like_every_pair(spark, monkeypatch, block, tile, small):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "SMALL", small)
     texts = variants(5, 90) + ["", None, "..."]
-    want = plain(texts)
+    texts += texts[:7] * 2  # exact copies are links too
+    want, links = plain(texts), linked(texts)
+    assert max(links) > 3
     least = {}
     for i, g in enumerate(want):
         least.setdefault(g, i)
     df = table(spark, list(enumerate(texts)))
-    got = {r["doc_id"]: (r["group_id"], r["keep"]) for r in minhash.near_duplicates(df).collect()}
-    assert got == {i: (least[g], least[g] == i) for i, g in enumerate(want)}
+    got = {r["doc_id"]: (r["group_id"], r["links"], r["keep"]) for r in minhash.near_duplicates(df).collect()}
+    assert got == {i: (least[g], links[i], least[g] == i) for i, g in enumerate(want)}
     kept = minhash.dedup(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
 
@@ -123,5 +139,5 @@ def test_query(spark, folder):
     least = {}
     for r, g in zip(docs, want):
         least.setdefault(g, r["doc_id"])
-    got = sorted((r["doc_id"], r["group_id"]) for r in minhash.query(spark, folder).collect())
-    assert got == sorted((r["doc_id"], least[g]) for r, g in zip(docs, want))
+    got = sorted((r["doc_id"], r["group_id"], r["links"]) for r in minhash.query(spark, folder).collect())
+    assert got == sorted((r["doc_id"], least[g], n) for r, g, n in zip(docs, want, linked([r["text"] for r in docs])))
