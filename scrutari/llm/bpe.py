@@ -218,7 +218,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "tokens", voc
                 null = np.array([t is None for t in texts])
                 yield pa.RecordBatch.from_arrays([*piece.columns, _lists(tokens, offsets, null)], [*names, out_col])
 
-    return runtime.mapped(rest, run, runtime.added(rest, out_col, "array<int>"))
+    return runtime.mapped(runtime.spread(rest), run, runtime.added(rest, out_col, "array<int>"))
 
 
 def decode(rows: DataFrame, tokens_col: str = "tokens", out_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -252,7 +252,7 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab
             )
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return runtime.mapped(read, run, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens int, tokens array<int>, exact boolean")
+    return runtime.mapped(runtime.spread(read), run, f"doc_id {dict(docs.dtypes)[id_col]}, n_tokens int, tokens array<int>, exact boolean")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

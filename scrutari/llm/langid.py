@@ -306,7 +306,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), names, margin], ["doc_id", "language", "margin"])
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return runtime.mapped(read, run, f"doc_id {dict(docs.dtypes)[id_col]}, language string, margin double")
+    return runtime.mapped(runtime.spread(read), run, f"doc_id {dict(docs.dtypes)[id_col]}, language string, margin double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -293,7 +293,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     kind = dict(docs.dtypes)[id_col]
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     read = read.withColumn("text_hash", F.xxhash64("text"))
-    signed, _ = runtime.written(runtime.mapped(read, _sign, f"doc_id {kind}, text_hash long, sid long, more long, sig binary"), "signatures")
+    signed, _ = runtime.written(runtime.mapped(runtime.spread(read), _sign, f"doc_id {kind}, text_hash long, sid long, more long, sig binary"), "signatures")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
     classes = signed.where("sid is not null").groupBy("sid", "more").agg(first.alias("first"), F.count("*").alias("copies"), F.first("sig").alias("sig"))
     # Classes are numbered once, when they are written, so that no two have one number.

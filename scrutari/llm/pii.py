@@ -494,7 +494,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(kind))], ["doc_id", "spans"])
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return runtime.mapped(read, run, f"doc_id {dict(docs.dtypes)[id_col]}, spans array<struct<start:int,end:int,kind:string>>")
+    return runtime.mapped(runtime.spread(read), run, f"doc_id {dict(docs.dtypes)[id_col]}, spans array<struct<start:int,end:int,kind:string>>")
 
 
 def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
@@ -517,7 +517,7 @@ def mask(docs: DataFrame, text_col: str = "text", length_col: str | None = None)
                 batch = batch.set_column(at, f, pa.array([None if t is None else len(t) for t in out], f.type))
             yield batch
 
-    return runtime.mapped(docs, run, docs.schema)
+    return runtime.mapped(runtime.spread(docs), run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

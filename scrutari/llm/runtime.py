@@ -92,6 +92,23 @@ def mapped(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, schema)
 
 
+#: Bytes below which a table that lies in few files is spread over all cores.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, in as many partitions as there are cores if it is a small table in fewer files than that.
+
+    A small file is often one row group and so one task, whatever is done with
+    each row. Larger tables, and all that aren't read from files, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) >= SMALL or not 0 < len(df.inputFiles()) < cores:
+        return df
+    return df.repartition(cores)
+
+
 def added(df: DataFrame, name: str, kind: str) -> StructType:
     """The schema of ``df`` and one more column."""
     return StructType([*df.schema.fields, StructField(name, StructType.fromDDL(f"x {kind}")[0].dataType)])

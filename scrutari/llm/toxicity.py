@@ -377,7 +377,7 @@ def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z - cut, mask=np.isnan(z)), pa.array(toxic)], ["doc_id", "toxicity", "toxic"])
 
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return runtime.mapped(read, run, f"doc_id {dict(docs.dtypes)[id_col]}, toxicity double, toxic boolean")
+    return runtime.mapped(runtime.spread(read), run, f"doc_id {dict(docs.dtypes)[id_col]}, toxicity double, toxic boolean")
 
 
 def reject(docs: DataFrame, machine: Machine | None, text_col: str = "text") -> DataFrame:
@@ -388,7 +388,7 @@ def reject(docs: DataFrame, machine: Machine | None, text_col: str = "text") ->
         for batch, _, toxic in _judge(model, it, text_col):
             yield batch.filter(pa.array(~toxic))
 
-    return runtime.mapped(docs, run, docs.schema)
+    return runtime.mapped(runtime.spread(docs), run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
