@@ -49,6 +49,8 @@ RARE = 4
 TERMS = 1 + len(PREFIXES)
 #: Of each word's terms the one that has a vector.
 STEM = 2
+#: Characters whose words are looked at together in fitting.
+PIECE = 250_000
 #: The bucket that always weighs nothing.
 NOTHING = 0
 
@@ -141,7 +143,7 @@ def distinct(texts: list[str]) -> list[int]:
     """Indices of texts of which none before is a near copy, by MinHash bands."""
     seen: set[tuple[int, bytes]] = set()
     out = []
-    for i, s in enumerate(s for part in tokens.pieces(texts) for s in minhash.signatures(part)):
+    for i, s in enumerate(s for part in tokens.pieces(texts, PIECE) for s in minhash.signatures(part)):
         bands = {(k, s[k : k + minhash.ROWS].tobytes()) for k in range(0, minhash.PERMUTATIONS, minhash.ROWS)}
         if seen.isdisjoint(bands):
             out.append(i)
@@ -155,7 +157,7 @@ SEEDS = 1_000
 SURE = 2.0
 
 
-def _meetings(stem: np.ndarray, doc: np.ndarray, texts: np.ndarray, known: np.ndarray, most: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(stem: np.ndarray, doc: np.ndarray, texts: np.ndarray, known: np.ndarray, most: int = 10_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of known stems (the lesser bucket, then the other) that share a window, and the text of each; some texts at a time."""
     bits = np.int64(BITS)
     length = np.diff(doc)[texts]
@@ -193,29 +195,30 @@ def _seeds(stem: np.ndarray, doc: np.ndarray, y: np.ndarray, train: np.ndarray,
     def bins(pair: np.ndarray) -> np.ndarray:
         return (tokens.mix(pair.astype(np.uint64)) >> np.uint64(64 - BINS)).astype(np.int64)
 
-    n, seen = [(train & ~y).sum(), (train & y).sum()], np.zeros((2, 1 << BINS), np.int32)
+    # No count is larger than the number of texts.
+    n, seen = [(train & ~y).sum(), (train & y).sum()], np.zeros((2, 1 << BINS), np.min_scalar_type(len(y)))
     for c in (0, 1):
         for pair, own in _meetings(stem, doc, np.flatnonzero(train & (y == bool(c))), known):
             key = np.sort(own << np.int64(BINS) | bins(pair))  # once for each text
-            seen[c] += np.bincount(key[np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]] & ((1 << BINS) - 1), minlength=1 << BINS)
-    s0, s1 = seen
-    often = s0 + s1 >= RARE
-    gain = np.zeros(1 << BINS, np.float32)
-    error = np.full(1 << BINS, np.inf, np.float32)
-    gain[often] = np.log((s1[often] + 0.5) / (n[1] + 1)) - np.log((s0[often] + 0.5) / (n[0] + 1))
-    error[often] = np.sqrt(1 / (s1[often] + 0.5) + 1 / (s0[often] + 0.5))
-    telling = np.abs(gain) > SURE * error
+            bin_, times = np.unique(key[np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]] & ((1 << BINS) - 1), return_counts=True)
+            seen[c, bin_] += times.astype(seen.dtype)
+    often = np.flatnonzero(seen[0] + seen[1] >= RARE)
+    s0, s1 = seen[:, often].astype(np.float64)
+    gain = np.log((s1 + 0.5) / (n[1] + 1)) - np.log((s0 + 0.5) / (n[0] + 1))
+    error = np.sqrt(1 / (s1 + 0.5) + 1 / (s0 + 0.5))
+    telling = np.zeros(1 << BINS, bool)
+    telling[often] = np.abs(gain) > SURE * error
     found = [np.empty(0, np.int64)]
     for pair, _ in _meetings(stem, doc, np.flatnonzero(train), known):
         found.append(np.unique(pair[telling[bins(pair)]]))
         if len(found) > 64:
             found = [np.unique(np.concatenate(found))]
     pair = np.unique(np.concatenate(found))
-    a, b, k = pair >> BITS, pair & ((1 << BITS) - 1), bins(pair)
+    a, b, k = pair >> BITS, pair & ((1 << BITS) - 1), np.searchsorted(often, bins(pair))
     beyond = gain[k] - np.where(a == b, odds[a], odds[a] + odds[b])
     beyond = np.sign(beyond) * np.clip(np.abs(beyond) - SURE * error[k], 0, 4)
     # Weighted by how many texts the pair decides.
-    weight = beyond * np.sqrt(np.maximum(seen[0, k] / n[0], seen[1, k] / n[1]))
+    weight = beyond * np.sqrt(np.maximum(s0[k] / n[0], s1[k] / n[1]))
     some = weight != 0
     a, b, weight = a[some], b[some], weight[some]
     total = np.bincount(a, np.abs(weight), 1 << BITS) + np.bincount(b, np.abs(weight), 1 << BITS)
@@ -257,7 +260,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Machine | None:
         return None
     one = distinct(texts)  # else a text that was copied often would make all its words telling
     texts, y = [texts[i] for i in one], y[one]
-    parts = [(terms(w), np.diff(w.doc)) for w in map(tokens.words, tokens.pieces(texts))]
+    parts = [(terms(w), np.diff(w.doc)) for w in map(tokens.words, tokens.pieces(texts, PIECE))]
     t = np.concatenate([a for a, _ in parts])
     doc = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]))])
     del parts
