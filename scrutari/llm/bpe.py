@@ -39,7 +39,7 @@ from . import runtime
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that are encoded together, whole texts at a time.
-TOGETHER = 4_000_000
+TOGETHER = 3_000_000
 
 SENTINEL, GONE = -2, -1
 

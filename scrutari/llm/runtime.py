@@ -115,7 +115,7 @@ def added(df: DataFrame, name: str, kind: str) -> StructType:
 
 
 def batches(
-    it: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_500_000
+    it: Iterator[pa.RecordBatch], column: str = "text", most: int = 1_000_000
 ) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Split Arrow batches so that the texts of a piece hold about ``most`` characters, whole rows at a time."""
     for batch in it:
