@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import io
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,29 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-_shipped: dict[str, bool] = {}
-_own: dict[str, str] = {}
-
+from ..sources.shared import ship
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(os.path.join(root, "scrutari")):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, root))
-    # Written on the driver only: Spark's file server hands it to the executors over the network.
-    path = os.path.join(tempfile.mkdtemp(prefix="scrutari-code-"), "scrutari_code.zip")
-    with open(path, "wb") as f:
-        f.write(buffer.getvalue())
-    spark.sparkContext.addPyFile(path)
-    _shipped[app] = True
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
