@@ -2,13 +2,17 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from scrutari.functions import analysis
 from scrutari.operators import postings, tables
 from scrutari.plans.query import Schema
+from scrutari.sources import shared
 from scrutari.sources.index import Writer, open_index
 
 SCHEMA = Schema(("t", "u"), ("k",))
+SCHEMA_T = Schema(("t",), ("k",))
 BLOCKS = ["segment_id", "field", "term", "block", "docs", "first_id", "last_id", "max_tf", "min_len_q", "average_then", "impact", "entries"]
 
 
@@ -67,3 +71,53 @@ def test_building_moves_pieces_once_and_aggregates_no_postings(spark):
     stats = spark.createDataFrame([(0, "t", 1, 3)], tables.FIELD_STATS)
     plan = postings.merged(postings.counted(df, s, 0), s, stats, 3)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange rangepartitioning") == 1 and "hashpartitioning" not in plan and "Aggregate" not in plan
+
+
+def test_text_goes_to_workers_whole_and_is_cut_there_as_on_columns(spark):
+    """A list of tokens for each row is made only where an analyzer has no way to cut text in Arrow."""
+    schema = Schema(("t",), ("k",), (("t", "letters"),))
+    analysis.register("letters", analysis.Analyzer(lambda c: F.split(c, ""), list))
+    df = spark.createDataFrame([(0, "ab", "k")], "local_id long, t string, k string")
+    assert "split(" in postings.counted(df, schema, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in postings.counted(df, SCHEMA_T, 0)._jdf.queryExecution().optimizedPlan().toString()
+    # Every code point between two letters, and texts at each other's edges.
+    every = "".join(f"x{chr(c)}Y" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    texts = [None, "", "a", "b", " ", "É—ü", "x　", "　你好。", "\U0001f600", "..", every, "z"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").coalesce(1).orderBy("n")
+    want = [r[0] for r in rows.select(analysis.tokens(F.col("t"))).collect()]
+    low = pa.array([r[0] for r in rows.select(analysis.lowered(F.col("t"))).collect()])
+    split = analysis.splitter(spark)
+    assert split(low).to_pylist() == want
+    assert split(low.slice(3, 7)).to_pylist() == want[3:10]
+
+
+def test_workers_write_the_files_of_postings(spark, tmp_path, monkeypatch):
+    """The plan of what is stored has no rows of blocks; files of attempts that failed go; other file systems get the same by Spark's writer."""
+    df = sample(spark)
+    kinds = []
+    parts = postings._parts
+    monkeypatch.setattr(postings, "_parts", lambda *a: kinds.append(a[-1]) or parts(*a))
+    stored = postings.stored
+
+    def with_a_failed_attempt(pieces, schema, stats, n, at, codec):
+        with open(f"{at}/part-0.parquet", "wb") as f:
+            f.write(b"PAR1")
+        return stored(pieces, schema, stats, n, at, codec)
+
+    monkeypatch.setattr(postings, "stored", with_a_failed_attempt)
+    monkeypatch.setattr(postings, "GROUP_ROWS", 100)
+    Writer(spark, f"file://{tmp_path}/a", SCHEMA).add(df, local_id="n")
+    monkeypatch.setattr(shared, "mounted", lambda spark, path: None)
+    Writer(spark, f"file://{tmp_path}/b", SCHEMA).add(df, local_id="n")
+    assert kinds == [postings.SUMS, tables.POSTINGS]
+    a, b = (open_index(spark, f"file://{tmp_path}/{x}") for x in "ab")
+    assert rows(a.blocks, *BLOCKS) == rows(b.blocks, *BLOCKS)
+    assert rows(a.term_stats, *a.term_stats.columns) == rows(b.term_stats, *a.term_stats.columns)
+    assert not [f for f in tmp_path.rglob("*") if f.name == "sums"]
+
+
+def test_an_index_of_texts_without_terms(spark, tmp_path):
+    w = Writer(spark, f"file://{tmp_path}/i", Schema(("t",)))
+    w.add(spark.createDataFrame([(0, "..."), (1, None)], "n long, t string"), local_id="n")
+    index = open_index(spark, f"file://{tmp_path}/i")
+    assert index.blocks.count() == 0 and index.term_stats.count() == 0 and index.documents.count() == 2
