@@ -354,6 +354,7 @@ class Tagger:
         self.X = [np.ascontiguousarray(p[x] * sign) for x in ("Xf", "Xb")]
         self.U = [np.ascontiguousarray(p[u] * sign[:, None]) for u in ("Uf", "Ub")]
         self.W, self.b, self.trans = [p["Wf"], p["Wb"]], p["b"], p["trans"]
+        self.UW = [np.concatenate(x) for x in zip(self.U, self.W)]
 
     def decode(self, ids: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Labels (time, batch) of windows ids (time, batch) padded to the longest."""
@@ -369,16 +370,19 @@ class Tagger:
         # Windows come longest first: a stretch of steps runs over those only that reach it.
         stretches = [(t, min(t + STRETCH, T), int((length > t).sum())) for t in range(0, T, STRETCH)]
         for side in (0, 1):
-            X, U, W = self.X[side], self.U[side], self.W[side]
+            X, UW, W = self.X[side], self.UW[side], self.W[side]
             h = c = np.zeros((H, 0), np.float32)
             for low, high, n in stretches if side == 0 else reversed(stretches):
                 h, c = (np.concatenate((a[:, :n], np.zeros((H, max(0, n - a.shape[1])), np.float32)), axis=1) for a in (h, c))
-                z, g, w = np.empty((4 * H, n), np.float32), np.empty((n, 4 * H), np.float32), np.empty((K, n), np.float32)
-                size = length[:n]
+                zw, g, w = np.empty((4 * H + K, n), np.float32), np.empty((n, 4 * H), np.float32), np.empty((K, n), np.float32)
+                z, size, last = zw[: 4 * H], length[:n], -1
                 over = bool((size < high).any())
                 for t in range(low, high) if side == 0 else range(high - 1, low - 1, -1):
                     np.take(X, ids[t, :n], axis=0, out=g, mode="clip")
-                    np.dot(U, h, out=z)
+                    np.dot(UW, h, out=zw)  # the gates' inputs of this step, and what the step before emits
+                    if last >= 0:
+                        em[last, :, :n] += zw[4 * H :]
+                    last = t
                     z += g.T
                     np.exp(z, out=z)
                     z += one
@@ -399,25 +403,33 @@ class Tagger:
                         inside = t < size
                         h *= inside
                         c *= inside
-                    np.dot(W, h, out=w)
-                    em[t, :, :n] += w
-        m, w = np.empty((K, B), np.float32), np.empty((K, B), np.float32)
+                np.dot(W, h, out=w)
+                em[last, :, :n] += w
         em += self.b[:, None]
         if ragged:
             over = np.arange(T)[:, None] >= length
             em[:, 1:][np.broadcast_to(over[:, None], em[:, 1:].shape)] = -1e4
-        trans = self.trans
+        trans, m, paths, plain = self.trans, np.empty((K, B), np.float32), np.empty((K, K, B), np.float32), np.ones(B, bool)
         for t in range(1, T):  # em becomes the best score of a path that ends there
-            before = em[t - 1]
-            np.add(before[0], trans[0][:, None], out=m)
-            for k in range(1, K):
-                np.add(before[k], trans[k][:, None], out=w)
-                np.maximum(m, w, out=m)
+            np.add(em[t - 1][:, None], trans[:, :, None], out=paths)
+            np.maximum.reduce(paths, axis=0, out=m)
+            plain &= m[0] == paths[0, 0]
             em[t] += m
+        # Where the best path ends without a label and what has none always follows such, there is no label at all.
+        plain &= em[-1].argmax(axis=0) == 0
+        y = np.zeros((T, B), np.int8)
+        some = np.flatnonzero(~plain)
+        if len(some):
+            y[:, some] = self._traced(np.ascontiguousarray(em[:, :, some]))
+        return y
+
+    def _traced(self, em: np.ndarray) -> np.ndarray:
+        """Labels of the best paths, from their scores."""
+        T, _, B = em.shape
         y = np.empty((T, B), np.int8)
         y[-1] = em[-1].argmax(axis=0)
         for t in range(T - 2, -1, -1):
-            y[t] = (em[t] + trans[:, y[t + 1]]).argmax(axis=0)
+            y[t] = (em[t] + self.trans[:, y[t + 1]]).argmax(axis=0)
         return y
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:

@@ -149,3 +149,16 @@ def test_query(spark, folder, tagger):
         s = texts[r["doc_id"]]
         want = None if s is None else [(a, b, pii.KINDS[k - 1]) for a, b, k in tagger.spans([s])[0]]
         assert (None if r["spans"] is None else [tuple(x) for x in r["spans"]]) == want
+
+
+def test_only_windows_with_labels_are_traced_back(monkeypatch):
+    """Paths of windows without any label aren't followed; the labels are those of following every path."""
+    tagger, traced = pii.Tagger(pii.weights()), []
+    follow = pii.Tagger._traced
+    monkeypatch.setattr(pii.Tagger, "_traced", lambda self, em: traced.append(em.shape[2]) or follow(self, em))
+    texts = ["the quick brown fox jumps " * 20, "write to jane.doe12@mail.example.com or call +1 (555) 555-1234 now", "", "x"]
+    want = [tagger.spans([t])[0] for t in texts]
+    assert want[1] and not want[0]
+    traced.clear()
+    assert tagger.spans(texts * 3) == want * 3
+    assert sum(traced) == 3
