@@ -25,6 +25,13 @@ def test_tokens(spark):
     assert got[99] == []
 
 
+def test_characters_are_not_looked_up_one_by_one(spark, capsys):
+    df = spark.createDataFrame([(1, "ΣΣ-İİ xΣİy"), (2, "plain Text"), (3, "é" * 5000 + "İ" + "Σ" * 3), (4, None)], "k int, s string").select("k", analysis.lowered(F.col("s")).alias("s"))
+    df.explain(True)
+    assert "translate(" not in capsys.readouterr().out
+    assert dict(df.collect()) == {1: "σσ-ii xσiy", 2: "plain text", 3: "é" * 5000 + "iσσσ", 4: None}
+
+
 @given(st.lists(st.text(alphabet=st.characters(max_codepoint=0x24FF, exclude_categories=["Cs", "Cn", "Co"]), max_size=30), min_size=20, max_size=20))
 @settings(max_examples=5, deadline=None)
 def test_driver_and_executors_cut_alike(spark, texts):
